@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import repeated_lines
+from . import leakage, lookalikes, near_duplicates, repeated_lines, split_overlap
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,4 +28,68 @@ def p2_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mined.patterns.groupBy("length").agg(F.count(F.lit(1)).alias("patterns"), F.max("docs").alias("most_docs"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_cleaned, p2_patterns)}
+def _article_text() -> Column:
+    return F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit("")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of pages that share at least half of their word triples."""
+    links = near_duplicates.link(table(spark, sf_dir, "corpus_documents"), "corpus_id", _article_text(), threshold=0.5, shingle=3)
+    return near_duplicates.record_pairs(links, 3).select(F.col("a").alias("corpus_id_a"), F.col("b").alias("corpus_id_b"))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every page at five words and a similarity of 0.8."""
+    links = near_duplicates.link(table(spark, sf_dir, "corpus_documents"), "corpus_id", _article_text())
+    return near_duplicates.groups(links).withColumnRenamed("id", "corpus_id")
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.split_questions(table(spark, sf_dir, "qa_records"), table(spark, sf_dir, "benchmark_manifest"), "development", "final_holdout")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of ids of development and final_holdout whose queries share 0.8 of their words."""
+    pairs = split_overlap.overlaps(_questions(spark, sf_dir))
+    return pairs.select(F.least("left_key", "right_key").alias("qa_id_a"), F.greatest("left_key", "right_key").alias("qa_id_b")).distinct()
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping ids and pairs per split and source of the evidence."""
+    pairs = split_overlap.overlaps(_questions(spark, sf_dir))
+    return split_overlap.counts_by_source(pairs, table(spark, sf_dir, "qa_records"), "development", "final_holdout")
+
+
+def p5_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of either split by the number of records of the other whose idf-weighted cosine is 0.9 or more."""
+    vecs = split_overlap.vectors(_questions(spark, sf_dir), "idf")
+    pairs = split_overlap.record_pairs(vecs, split_overlap.class_pairs(vecs, 0.9))
+    return pairs.groupBy(F.col("left_key").alias("qa_id")).agg(F.count(F.lit(1)).alias("partners"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 12 consecutive words of a held-out passage."""
+    hits = leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_passages"))
+    return hits.filter("distance = 0").select(F.col("id").alias("doc_id"), "item_id").distinct()
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked passages: documents that hold part of them, word for word and within two words."""
+    hits = leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_passages"))
+    return hits.groupBy("item_id").agg(F.count_if(F.col("distance") == 0).alias("exact_docs"), F.count(F.lit(1)).alias("near_docs"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents whose stored texts differ but look alike."""
+    pairs = lookalikes.alike_pairs(lookalikes.classes(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the text of the canonical member of its class."""
+    documents = table(spark, sf_dir, "documents")
+    members = lookalikes.classes(documents, "doc_id", "text")
+    return lookalikes.with_canonical(documents, "doc_id", "text", members).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_cleaned, p2_patterns, p3_found, p3_groups, p5_found, p5_counts, p5_idf, p7_found, p7_items, p8_found, p8_canonical)}
