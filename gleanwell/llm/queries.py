@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import leakage, lookalikes, near_duplicates, repeated_lines, split_overlap
+from . import leakage, lookalikes, near_duplicates, page_body, repeated_lines, split_overlap
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,16 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(links).withColumnRenamed("id", "corpus_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every page that are not part of its article."""
+    return page_body.furniture(table(spark, sf_dir, "corpus_documents"))
+
+
+def p4_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    return page_body.articles(table(spark, sf_dir, "corpus_documents"))
+
+
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_overlap.split_questions(table(spark, sf_dir, "qa_records"), table(spark, sf_dir, "benchmark_manifest"), "development", "final_holdout")
 
@@ -92,4 +102,4 @@ def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.with_canonical(documents, "doc_id", "text", members).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_cleaned, p2_patterns, p3_found, p3_groups, p5_found, p5_counts, p5_idf, p7_found, p7_items, p8_found, p8_canonical)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_cleaned, p2_patterns, p3_found, p3_groups, p4_found, p4_articles, p5_found, p5_counts, p5_idf, p7_found, p7_items, p8_found, p8_canonical)}
