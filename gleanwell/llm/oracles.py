@@ -20,3 +20,29 @@ ORACLES: dict[str, str] = {
 SELECT d.corpus_id, CASE WHEN d.body IS NULL THEN NULL ELSE coalesce(m.clean, '') END AS clean_body, CAST(coalesce(m.n, 0) AS INTEGER) AS removed_lines
 FROM corpus_documents d LEFT JOIN (SELECT corpus_id, string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT cut) AS clean, count(*) FILTER (WHERE cut) AS n FROM marked GROUP BY corpus_id) m USING (corpus_id)""",
 }
+
+_CELLS = r"""
+pop AS (SELECT DISTINCT qa_id, regexp_replace(lower(question_type), '[\s_\-]+', '', 'g') AS k, hop_count FROM phase9_holdout_report
+  WHERE qa_id IS NOT NULL AND hop_count IS NOT NULL AND regexp_replace(lower(question_type), '[\s_\-]+', '', 'g') <> ''),
+sizes AS (SELECT k, hop_count, count(*) AS n FROM pop GROUP BY ALL),
+cells AS (SELECT t.plan_id, t.question_type, t.hop_count, regexp_replace(lower(t.question_type), '[\s_\-]+', '', 'g') AS k, t.target_share, t.min_rows, p.sample_size,
+  greatest(CAST(t.min_rows AS BIGINT), CAST(round(t.target_share * p.sample_size) AS BIGINT)) AS needed FROM sample_targets t JOIN sample_plans p USING (plan_id))
+"""
+ORACLES |= {
+    "p1_found": f"""WITH {_CELLS} SELECT c.plan_id, c.question_type, c.hop_count FROM cells c LEFT JOIN sizes s ON s.k = c.k AND s.hop_count = c.hop_count WHERE c.needed > coalesce(s.n, 0)""",
+    "p1_report": f"""WITH {_CELLS},
+ranked AS (SELECT c.*, row_number() OVER (PARTITION BY c.plan_id, c.k, c.hop_count ORDER BY p.qa_id) AS r FROM cells c JOIN pop p ON p.k = c.k AND p.hop_count = c.hop_count),
+put AS (SELECT *, r <= min_rows AS fl, CASE WHEN target_share > 0 THEN (r - 0.5::DOUBLE) / target_share END AS pr FROM ranked),
+seated AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY fl DESC, CASE WHEN fl THEN r::DOUBLE ELSE pr END, k, hop_count, r) AS seat FROM put WHERE fl OR pr IS NOT NULL),
+drawn AS (SELECT plan_id, k, hop_count, count(*) AS n FROM seated WHERE seat <= sample_size GROUP BY ALL)
+SELECT c.plan_id, c.question_type, c.hop_count, c.needed, coalesce(s.n, 0) AS available, coalesce(d.n, 0) AS drawn, greatest(c.needed - coalesce(s.n, 0), 0) AS short
+FROM cells c LEFT JOIN sizes s ON s.k = c.k AND s.hop_count = c.hop_count LEFT JOIN drawn d ON d.plan_id = c.plan_id AND d.k = c.k AND d.hop_count = c.hop_count""",
+    "p5_found": r"""
+WITH listed AS (SELECT DISTINCT split, unnest(qa_ids) AS id FROM benchmark_manifest WHERE split IN ('development', 'final_holdout')),
+words AS (SELECT DISTINCT qa_id AS id, list_distinct(list_filter(string_split_regex(lower(query), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS w FROM qa_records WHERE query IS NOT NULL),
+d AS (SELECT id, w FROM listed JOIN words USING (id) WHERE split = 'development' AND len(w) > 0),
+h AS (SELECT id, w FROM listed JOIN words USING (id) WHERE split = 'final_holdout' AND len(w) > 0),
+met AS (SELECT d.id AS a, h.id AS b, len(list_intersect(d.w, h.w)) AS s, len(d.w) + len(h.w) AS n FROM d JOIN h ON 5 * len(d.w) >= 4 * len(h.w) AND 5 * len(h.w) >= 4 * len(d.w))
+SELECT DISTINCT least(a, b) AS qa_id_a, greatest(a, b) AS qa_id_b FROM met WHERE 10 * s >= 8 * (n - s)
+UNION SELECT x.id, x.id FROM listed x JOIN listed y USING (id) WHERE x.split = 'development' AND y.split = 'final_holdout'""",
+}

@@ -8,7 +8,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import leakage, lookalikes, near_duplicates, page_body, repeated_lines, split_overlap
+from . import leakage, lookalikes, near_duplicates, packing, page_body, quota_sample, repeated_lines, split_overlap
+
+
+def _plans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(table(spark, sf_dir, x) for x in ("phase9_holdout_report", "sample_plans", "sample_targets"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the targets that need more questions than there are."""
+    return quota_sample.report(*_plans(spark, sf_dir)).filter("short > 0").select("plan_id", "question_type", "hop_count")
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions needed, available and drawn for every cell of the targets."""
+    return quota_sample.report(*_plans(spark, sf_dir))
+
+
+def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn questions of every plan."""
+    return quota_sample.draw(*_plans(spark, sf_dir))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +96,20 @@ def p5_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(F.col("left_key").alias("qa_id")).agg(F.count(F.lit(1)).alias("partners"))
 
 
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every text or piece at each capacity."""
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "pack_capacities"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and space left over at each capacity."""
+    packed = p6_pack(spark, sf_dir)
+    boxes = packed.groupBy("capacity_id", "container_id").agg(F.sum("n_tokens").alias("tokens"))
+    sizes = table(spark, sf_dir, "pack_capacities").select("capacity_id", "capacity_tokens")
+    totals = boxes.groupBy("capacity_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"))
+    return totals.join(sizes, "capacity_id").select("capacity_id", "containers", "tokens", (1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("unused"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold 12 consecutive words of a held-out passage."""
     hits = leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_passages"))
@@ -102,4 +135,4 @@ def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.with_canonical(documents, "doc_id", "text", members).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_cleaned, p2_patterns, p3_found, p3_groups, p4_found, p4_articles, p5_found, p5_counts, p5_idf, p7_found, p7_items, p8_found, p8_canonical)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_cleaned, p2_patterns, p3_found, p3_groups, p4_found, p4_articles, p5_found, p5_counts, p5_idf, p6_pack, p6_fill, p7_found, p7_items, p8_found, p8_canonical)}
