@@ -1,11 +1,13 @@
 """Records of one split that come again, in the same or nearly the same words, in another: a weighted cosine join.
 
-Every text is a unit vector of term weights, its terms ordered by rarity over both splits. A term is posted to the inverted lists
-only while it and the rarer-first rest of its vector have a norm of the threshold or more: of two vectors whose product reaches the
-threshold, the rarest common term is then posted on both sides. The lists of the two splits are joined term by term. The products
-of a joined pair are summed; what its later terms can add is bounded by the product of the residual norms and by the sum of one
-side's residual weights times the other side's largest weight, and pairs that stay below the threshold are dropped. Survivors get
-their exact dot product. Equal sets of words are one class, so copies are neither posted nor compared again.
+Every text is a unit vector of term weights, its terms ordered by rarity over both splits. Let top be a vector's largest weight and
+rest the norm of what follows a term. Two vectors with a single common term before that place have a product of at most
+sqrt(top^2 + rest^2), so as soon as this is below the threshold no later term is posted: vectors that reach the threshold share two
+terms at least among those that both have posted. The inverted lists are therefore kept by pairs of posted terms, which makes them
+short where single terms are frequent. (A vector that one term dominates is posted whole, by single terms too.) The lists of the two
+splits are joined; each posting carries a 64-bit map of the vector's terms, and a joined pair goes on only if the norms of what the
+maps leave in common still allow the threshold. Survivors get their exact dot product. Equal sets of words are one class, so copies
+are neither posted nor compared again.
 """
 
 from __future__ import annotations
@@ -24,10 +26,15 @@ EPSILON = 1e-6
 
 
 class Vectors(NamedTuple):
-    """members: (key, cls, left, right), no row twice; terms: (cls, left, right, n, term, w, rest, sum1, top), one row per term of a class."""
+    """members: (key, cls, left, right); classes: (cls, left, right, text), both without repeated rows; terms: (term, df); and the numbers behind them."""
 
     members: DataFrame
+    classes: DataFrame
     terms: DataFrame
+    n_classes: int
+    n_terms: int
+    total: int
+    weighting: str
 
 
 def terms_of(text: Column) -> Column:
@@ -35,32 +42,51 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda w: w != ""))
 
 
+def _hashed(text: Column) -> Column:
+    return F.array_sort(F.transform(terms_of(text), lambda w: F.xxhash64(w)))
+
+
 def vectors(records: DataFrame, weighting: str = "binary") -> Vectors:
-    """Unit vectors of records(key, left, right, text); left and right say in which of the two splits a record is.
+    """Classes, members and term frequencies of records(key, left, right, text); left and right say in which split a record is.
 
-    A class is a set of words and its cls their hash; w is a term's weight over the norm of its class, rest the norm and sum1 the sum
-    of the weights of all less rare terms, top the largest weight. weighting: "binary", or "idf" with ln(1 + classes / df).
-    Texts without a word, null ones among them, belong to no class. Repeated rows count once. Other columns are not read.
+    A class is a set of words and its cls their hash. weighting: "binary", or "idf" with ln(1 + classes / df). Texts without a word,
+    null ones among them, belong to no class. Repeated rows count once. Other columns are not read.
     """
-    rows = records.select("key", "left", "right", F.array_sort(F.transform(terms_of(F.col("text")), lambda w: F.xxhash64(w))).alias("words"))
-    rows = rows.filter(F.size("words") > 0).withColumn("cls", F.xxhash64("words"))
-    members = rows.select("key", "cls", "left", "right").distinct()
-    sets = materialise(rows.groupBy("cls").agg(F.first("words").alias("words"), F.bool_or("left").alias("left"), F.bool_or("right").alias("right")), "classes")
-    df = materialise(sets.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
+    rows = records.select("key", "left", "right", "text", F.xxhash64(_hashed(F.col("text"))).alias("cls")).filter(F.size(terms_of(F.col("text"))) > 0)
+    rows = materialise(rows, "texts")
+    classes = materialise(rows.groupBy("cls").agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right"), F.min("text").alias("text")), "classes")
+    df = materialise(classes.select(F.explode(_hashed(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
     n_terms, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum("df"), F.lit(0))).first()
-    raw = F.lit(1.0) if weighting == "binary" else F.log(1 + F.lit(float(sets.count())) / F.col("df"))
-    spread = sets.select("cls", "left", "right", F.size("words").alias("n"), F.explode("words").alias("term"))
-    rows = join_counted(spread, df, ["term"], "df", n_terms, total).withColumn("raw", raw)
+    return Vectors(rows.select("key", "cls", "left", "right").distinct(), classes, df, classes.count(), n_terms, total, weighting)
+
+
+def _weighted(vecs: Vectors, classes: DataFrame) -> DataFrame:
+    """(cls, left, right, df, term, raw): the weighted terms of classes."""
+    spread = classes.select("cls", "left", "right", F.explode(_hashed(F.col("text"))).alias("term"))
+    raw = F.lit(1.0) if vecs.weighting == "binary" else F.log(1 + F.lit(float(vecs.n_classes)) / F.col("df"))
+    return join_counted(spread, vecs.terms, ["term"], "df", vecs.n_terms, vecs.total).select("cls", "left", "right", "df", "term", raw.alias("raw"))
+
+
+def _postings(vecs: Vectors, threshold: float) -> DataFrame:
+    """(key, cls, left, right, map, least): one row per pair of posted terms; least is the smallest squared weight."""
     by = Window.partitionBy("cls").orderBy(F.desc("df"), F.desc("term"))
     whole, later = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), by.rowsBetween(Window.unboundedPreceding, -1)
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(whole))
-    rows = rows.select(
-        "cls", "left", "right", "n", "term", (F.col("raw") / norm).alias("w"),
-        (F.sqrt(F.coalesce(F.sum(F.col("raw") * F.col("raw")).over(later), F.lit(0.0))) / norm).alias("rest"),
-        (F.coalesce(F.sum("raw").over(later), F.lit(0.0)) / norm).alias("sum1"),
-        (F.max("raw").over(whole) / norm).alias("top"),
+    square = F.col("raw") * F.col("raw")
+    bit = F.expr("shiftleft(1L, cast(pmod(term, 64) as int))")
+    rows = _weighted(vecs, vecs.classes).select(
+        "cls", "left", "right", "df", "term", square.alias("own"),
+        F.sum(square).over(whole).alias("norm"), F.coalesce(F.sum(square).over(later), F.lit(0.0)).alias("rest"),
+        F.max(square).over(whole).alias("top"), F.min(square).over(whole).alias("least"), F.bit_or(bit).over(whole).alias("map"),
+    )
+    # rest and own make what the term and all later ones hold; below the threshold nothing more is posted
+    kept = rows.filter(F.col("top") + F.col("own") + F.col("rest") >= (threshold * threshold - EPSILON) * F.col("norm"))
+    posted = kept.groupBy("cls").agg(
+        F.first("left").alias("left"), F.first("right").alias("right"), F.first("map").alias("map"), F.first(F.col("least") / F.col("norm")).cast("float").alias("least"),
+        F.first(F.col("top") >= (threshold * threshold - EPSILON) * F.col("norm")).alias("alone"), F.array_sort(F.collect_list("term")).alias("t"),
     )
-    return Vectors(members, materialise(rows, "vectors"))
+    twos = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.xxhash64(x, y))))
+    keys = F.when(F.col("alone"), F.concat(twos, F.transform("t", lambda x: F.xxhash64(x)))).otherwise(twos)
+    return posted.select(F.explode(keys).alias("key"), "cls", "left", "right", "map", "least")
 
 
 def class_pairs(vecs: Vectors, threshold: float) -> DataFrame:
@@ -68,23 +94,25 @@ def class_pairs(vecs: Vectors, threshold: float) -> DataFrame:
 
     A class that both splits have is paired with itself. shared counts the common terms, n_a and n_b the terms.
     """
-    posted = vecs.terms.filter(F.col("w") * F.col("w") + F.col("rest") * F.col("rest") >= threshold * threshold - EPSILON)
-    a = posted.filter("left").select("term", *[F.col(c).alias(f"{c}_a") for c in ("cls", "w", "rest", "sum1", "top")])
-    b = posted.filter("right").select("term", *[F.col(c).alias(f"{c}_b") for c in ("cls", "w", "rest", "sum1", "top")])
-    more = F.least(F.col("rest_a") * F.col("rest_b"), F.col("sum1_a") * F.col("top_b"), F.col("sum1_b") * F.col("top_a"))
-    met = a.join(b, "term").groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.sum(F.col("w_a") * F.col("w_b")).alias("part"), F.min(more).alias("more"))
-    alive = materialise(met.filter(F.col("part") + F.col("more") >= threshold - EPSILON).select("a", "b"), "candidates")
+    posted = _postings(vecs, threshold)
+    a = posted.filter("left").select("key", *[F.col(c).alias(f"{c}_a") for c in ("cls", "map", "least")])
+    b = posted.filter("right").select("key", *[F.col(c).alias(f"{c}_b") for c in ("cls", "map", "least")])
+    lost_a = F.bit_count(F.col("map_a").bitwiseAND(F.bitwise_not("map_b"))) * F.col("least_a")
+    lost_b = F.bit_count(F.col("map_b").bitwiseAND(F.bitwise_not("map_a"))) * F.col("least_b")
+    possible = (lost_a < 1) & (lost_b < 1) & ((1 - lost_a) * (1 - lost_b) >= threshold * threshold - EPSILON)
+    met = a.join(b, (a["key"] == b["key"]) & possible).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+    alive = materialise(met.distinct(), "candidates")
     ids = materialise(alive.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "ids")
     n = ids.count()
-    needed = vecs.terms.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "cls", "left_semi")
-    full = needed.groupBy("cls").agg(F.first("n").alias("n"), F.collect_list(F.struct("term", "w")).alias("t"))
-    left = full.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("t").alias("ta"))
-    right = full.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("t").alias("tb"))
+    needed = vecs.classes.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "cls", "left_semi")
+    full = _weighted(vecs, needed).groupBy("cls").agg(F.collect_list("term").alias("t"), F.collect_list("raw").alias("w"))
+    left, right = (full.select(F.col("cls").alias(c), F.col("t").alias(f"t{c}"), F.col("w").alias(f"w{c}")) for c in ("a", "b"))
     both = alive.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect(F.col("ta.term"), F.col("tb.term")))
-    at = lambda x: F.array_position(F.col("tb.term"), x["term"]).cast("int")
-    dot = F.aggregate("ta", F.lit(0.0), lambda s, x: s + F.when(at(x) > 0, x["w"] * F.get(F.col("tb.w"), at(x) - 1)).otherwise(0.0))
-    return both.select("a", "b", dot.alias("dot"), shared.alias("shared"), "n_a", "n_b").filter(F.col("dot") >= threshold - EPSILON)
+    at = lambda x: F.array_position("tb", x["ta"]).cast("int")
+    product = F.aggregate(F.arrays_zip("ta", "wa"), F.lit(0.0), lambda s, x: s + F.when(at(x) > 0, x["wa"] * F.get("wb", at(x) - 1)).otherwise(0.0))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    out = both.select("a", "b", (product / (norm("wa") * norm("wb"))).alias("dot"), F.size(F.array_intersect("ta", "tb")).alias("shared"), F.size("ta").alias("n_a"), F.size("tb").alias("n_b"))
+    return out.filter(F.col("dot") >= threshold - EPSILON)
 
 
 def record_pairs(vecs: Vectors, pairs: DataFrame) -> DataFrame:
@@ -95,11 +123,17 @@ def record_pairs(vecs: Vectors, pairs: DataFrame) -> DataFrame:
 
 
 def split_questions(qa: DataFrame, manifest: DataFrame, left: str, right: str) -> DataFrame:
-    """(key, left, right, text): the ids that any release lists under either split, with their queries; text is null for an id without a record."""
+    """(key, left, right, text): the ids that any release lists under either split, with their queries.
+
+    Repeated records give repeated rows; an id that both splits list has a further row without a text, whether it has a record or not.
+    """
     listed = manifest.filter(F.col("split").isin(left, right)).select(F.explode("qa_ids").alias("key"), (F.col("split") == left).alias("left"))
-    flags = listed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.bool_or("left").alias("left"), F.bool_or(~F.col("left")).alias("right"))
-    texts = qa.select(F.col("qa_id").alias("key"), F.col("query").alias("text")).distinct()
-    return flags.join(texts, "key", "left")
+    flags = materialise(listed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.bool_or("left").alias("left"), F.bool_or(~F.col("left")).alias("right")), "listed")
+    n = flags.count()
+    texts = qa.select(F.col("qa_id").alias("key"), F.col("query").alias("text")).filter(F.col("text").isNotNull())
+    found = texts.join(F.broadcast(flags) if n <= BROADCAST_ROWS else flags, "key").select("key", "left", "right", "text")
+    none = flags.filter(F.col("left") & F.col("right")).select("key", "left", "right", F.lit(None).cast("string").alias("text"))
+    return found.unionByName(none)
 
 
 def overlaps(questions: DataFrame, share: float = 0.8) -> DataFrame:
