@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import evaluation, retrieval
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | evaluation.QUERIES
+ORACLES: dict[str, str] = retrieval.ORACLES | evaluation.ORACLES
