@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.skew import join_counted
 from ..runtime import BROADCAST_ROWS, materialise
 
 # Letters of other scripts that fonts draw like Latin ones, and the Latin letters.
@@ -86,23 +87,29 @@ def classes(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = records.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     forms = rows.mapInArrow(_plain_batches, "id bigint, changed bigint, form string, text string").filter(F.trim(F.regexp_replace("form", r"\s+", " ")) != "")
     keyed = materialise(forms.select("id", "changed", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"), F.xxhash64("form").alias("k1"), F.hash("form").alias("k2"), "form"), "forms")
-    first = materialise(keyed.groupBy("k1", "k2").agg(F.min("id").alias("id")).select("id"), "first")
-    n = first.count()
-    distinct = keyed.select("id", "k1", "k2", "form").join(F.broadcast(first) if n <= BROADCAST_ROWS else first, "id", "left_semi")
+    first = materialise(keyed.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows")).select("id", "rows"), "first")
+    n, total = first.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    distinct = keyed.select("id", "k1", "k2", "form").join(F.broadcast(first) if n <= BROADCAST_ROWS else first, "id")
     alike = Window.partitionBy(F.collate("form", "UNICODE"))
-    named = materialise(distinct.select("k1", "k2", F.min("id").over(alike).alias("cls")), "classes")
-    members = keyed.drop("form").join(F.broadcast(named) if n <= BROADCAST_ROWS else named, ["k1", "k2"]).drop("k1", "k2")
-    best = members.groupBy("cls").agg(F.min(F.struct("changed", "id")).alias("best"), F.min("id").alias("low")).select("cls", "low", F.col("best.id").alias("canonical"))
-    return members.join(best, "cls").select("id", F.col("low").alias("cls"), "canonical", "changed", "t1", "t2")
+    named = materialise(distinct.select("k1", "k2", "rows", F.min("id").over(alike).alias("cls")), "classes")
+    members = join_counted(keyed.drop("form"), named, ["k1", "k2"], "rows", n, total).select("id", "cls", "changed", "t1", "t2")
+    best = materialise(members.groupBy("cls").agg(F.min(F.struct("changed", "id")).alias("best"), F.count(F.lit(1)).alias("rows")).select("cls", "rows", F.col("best.id").alias("canonical")), "canonical")
+    return join_counted(members, best, ["cls"], "rows", best.count(), total).select("id", "cls", "canonical", "changed", "t1", "t2")
 
 
 def alike_pairs(members: DataFrame) -> DataFrame:
-    """(a, b), a < b: records of one class whose stored texts differ. Classes with a single stored text are left out before the join."""
-    varied = members.groupBy("cls").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).filter(F.col("lo") != F.col("hi")).select("cls")
-    kept = materialise(members.join(varied, "cls", "left_semi").select("id", "cls", "t1", "t2"), "varied")
-    x, y = kept.alias("x"), kept.alias("y")
-    differ = (F.col("x.t1") != F.col("y.t1")) | (F.col("x.t2") != F.col("y.t2"))
-    return x.join(y, (F.col("x.cls") == F.col("y.cls")) & (F.col("x.id") < F.col("y.id")) & differ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    """(a, b), a < b: records of one class whose stored texts differ.
+
+    Stored texts of a class are paired first, so copies of one text are never compared with each other, however many there are.
+    """
+    texts = materialise(members.groupBy("cls", "t1", "t2").agg(F.count(F.lit(1)).alias("rows")), "texts")
+    x, y = texts.alias("x"), texts.alias("y")
+    ahead = (F.col("x.t1") < F.col("y.t1")) | ((F.col("x.t1") == F.col("y.t1")) & (F.col("x.t2") < F.col("y.t2")))
+    met = x.join(y, (F.col("x.cls") == F.col("y.cls")) & ahead).select("x.cls", *[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "xy" for c in ("t1", "t2")])
+    for s in "xy":
+        side = members.select("cls", F.col("t1").alias(f"{s}t1"), F.col("t2").alias(f"{s}t2"), F.col("id").alias(s))
+        met = met.join(side, ["cls", f"{s}t1", f"{s}t2"])
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def with_canonical(records: DataFrame, id_col: str, text_col: str, members: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_counted
 from ..runtime import BROADCAST_ROWS, materialise
 from .words import mix, shingles, word_hashes
 
@@ -128,8 +129,9 @@ def link(records: DataFrame, id_col: str, text: F.Column, threshold: float = 0.8
     rows = records.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
     schema = "id bigint, words int, f1 bigint, f2 bigint, s1 bigint, s2 bigint, keys array<bigint>, deep array<int>"
     signed = materialise(rows.mapInArrow(_signature_batches(shingle), schema), "signatures")
-    reps = signed.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    members = materialise(signed.select("id", "words", "f1", "f2").join(reps, ["f1", "f2"]).select("id", "rep", "words"), "members")
+    reps = materialise(signed.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "reps")
+    members = join_counted(signed.select("id", "words", "f1", "f2"), reps, ["f1", "f2"], "copies", *_size(reps, "copies"))
+    members = materialise(members.select("id", "rep", "words"), "members")
     copies = members.filter(F.col("id") != F.col("rep")).select("id")
     n = copies.count()
     alone = signed.filter(F.col("words") >= shingle).join(F.broadcast(copies) if n <= BROADCAST_ROWS else copies, "id", "left_anti")
@@ -154,6 +156,11 @@ def link(records: DataFrame, id_col: str, text: F.Column, threshold: float = 0.8
     return Links(members, found.select("a", "b", "similarity"), recall)
 
 
+def _size(df: DataFrame, count: str) -> tuple[int, int]:
+    """Rows of df and the sum of its counts."""
+    return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(count), F.lit(0))).first())
+
+
 def _verified(rows: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """pairs(a, b, depth) that reach the threshold, with similarity; only texts of their ids are moved."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
@@ -194,5 +201,7 @@ def groups(links: Links) -> DataFrame:
         if not step.filter(F.col("label") != F.col("old")).limit(1).count():
             break
     degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("links"))
-    out = links.members.join(labels.join(degree, "a").withColumnRenamed("a", "rep"), "rep", "left")
-    return out.select("id", F.coalesce("label", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    sizes = links.members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
+    named = sizes.join(labels.join(degree, "a").withColumnRenamed("a", "rep"), "rep", "left")
+    named = materialise(named.select("rep", "copies", F.coalesce("label", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links")), "groups")
+    return join_counted(links.members, named, ["rep"], "copies", *_size(named, "copies")).select("id", "group_id", "links")

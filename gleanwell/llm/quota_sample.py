@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import spread_rank
-from ..runtime import materialise
+from ..runtime import broadcast_if_small, materialise
 
 
 def type_key(name: Column) -> Column:
@@ -43,7 +43,8 @@ def draw(records: DataFrame, plans: DataFrame, targets: DataFrame, seed: int = 4
     the lowest ranks are taken. A share of 0 gives no seat beyond the minimum. Empty tables give an empty sample; names of further
     columns don't matter. The same seed draws the same sample whatever the partitioning.
     """
-    rows = population(records).join(F.broadcast(_cells(plans, targets)), ["type_key", "hop_count"])
+    cells = materialise(_cells(plans, targets), "cells")
+    rows = population(records).join(broadcast_if_small(cells, cells.count()), ["type_key", "hop_count"])
     rows = rows.withColumn("random", F.xxhash64(F.lit(seed), "plan_id", "type_key", "hop_count", "qa_id"))
     ranked = spread_rank(rows, ["plan_id", "type_key", "hop_count"], [F.col("random"), F.col("qa_id")], F.shiftright("random", 54), "rank")
     ranked = ranked.filter(F.col("rank") <= F.greatest("sample_size", "min_rows"))

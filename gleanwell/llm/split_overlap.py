@@ -1,10 +1,12 @@
 """Records of one split that come again, in the same or nearly the same words, in another: a weighted cosine join.
 
 Every text is a unit vector of term weights, its terms ordered by rarity over both splits. Let top be a vector's largest weight and
-rest the norm of what follows a term. Two vectors with a single common term before that place have a product of at most
-sqrt(top^2 + rest^2), so as soon as this is below the threshold no later term is posted: vectors that reach the threshold share two
-terms at least among those that both have posted. The inverted lists are therefore kept by pairs of posted terms, which makes them
-short where single terms are frequent. (A vector that one term dominates is posted whole, by single terms too.) The lists of the two
+rest the norm of what follows a term. Two vectors with m - 1 common terms before that place have a product of at most
+sqrt((m - 1) top^2 + rest^2), so as soon as this is below the threshold no later term is posted: vectors that reach the threshold share
+m terms at least among those that both have posted. The inverted lists are therefore kept by groups of m posted terms, pairs unless
+asked otherwise, which makes them short where single terms are frequent. (A vector that fewer terms can carry over the threshold is
+posted whole, by smaller groups too.) Lists by pairs grow with the records of a subject; by threes there are some five times as
+many postings, and lists grow only with records that share three rare terms. The lists of the two
 splits are joined; each posting carries a 64-bit map of the vector's terms, and a joined pair goes on only if the norms of what the
 maps leave in common still allow the threshold. Survivors get their exact dot product. Equal sets of words are one class, so copies
 are neither posted nor compared again.
@@ -67,8 +69,8 @@ def _weighted(vecs: Vectors, classes: DataFrame) -> DataFrame:
     return join_counted(spread, vecs.terms, ["term"], "df", vecs.n_terms, vecs.total).select("cls", "left", "right", "df", "term", raw.alias("raw"))
 
 
-def _postings(vecs: Vectors, threshold: float) -> DataFrame:
-    """(key, cls, left, right, map, least): one row per pair of posted terms; least is the smallest squared weight."""
+def _postings(vecs: Vectors, threshold: float, together: int) -> DataFrame:
+    """(key, cls, left, right, map, least): one row per group of posted terms; least is the smallest squared weight."""
     by = Window.partitionBy("cls").orderBy(F.desc("df"), F.desc("term"))
     whole, later = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), by.rowsBetween(Window.unboundedPreceding, -1)
     square = F.col("raw") * F.col("raw")
@@ -79,22 +81,28 @@ def _postings(vecs: Vectors, threshold: float) -> DataFrame:
         F.max(square).over(whole).alias("top"), F.min(square).over(whole).alias("least"), F.bit_or(bit).over(whole).alias("map"),
     )
     # rest and own make what the term and all later ones hold; below the threshold nothing more is posted
-    kept = rows.filter(F.col("top") + F.col("own") + F.col("rest") >= (threshold * threshold - EPSILON) * F.col("norm"))
+    kept = rows.filter((together - 1) * F.col("top") + F.col("own") + F.col("rest") >= (threshold * threshold - EPSILON) * F.col("norm"))
     posted = kept.groupBy("cls").agg(
         F.first("left").alias("left"), F.first("right").alias("right"), F.first("map").alias("map"), F.first(F.col("least") / F.col("norm")).cast("float").alias("least"),
-        F.first(F.col("top") >= (threshold * threshold - EPSILON) * F.col("norm")).alias("alone"), F.array_sort(F.collect_list("term")).alias("t"),
+        F.first(F.ceil((threshold * threshold - EPSILON) * F.col("norm") / F.col("top"))).alias("fewest"), F.array_sort(F.collect_list("term")).alias("t"),
     )
-    twos = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.xxhash64(x, y))))
-    keys = F.when(F.col("alone"), F.concat(twos, F.transform("t", lambda x: F.xxhash64(x)))).otherwise(twos)
+    groups = {1: F.transform("t", lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("i")))}
+    for m in range(2, together + 1):
+        longer = lambda g: F.transform(F.slice("t", g["i"] + 2, F.size("t")), lambda y, k: F.struct(F.xxhash64(g["h"], y).alias("h"), (g["i"] + 1 + k).alias("i")))  # noqa: B023, E731
+        groups[m] = F.flatten(F.transform(groups[m - 1], longer))
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    sized = [groups[m] if m == together else F.when(F.col("fewest") <= m, groups[m]).otherwise(none) for m in groups]
+    keys = F.transform(F.concat(*sized), lambda g: g["h"])
     return posted.select(F.explode(keys).alias("key"), "cls", "left", "right", "map", "least")
 
 
-def class_pairs(vecs: Vectors, threshold: float) -> DataFrame:
+def class_pairs(vecs: Vectors, threshold: float, together: int = 2) -> DataFrame:
     """(a, b, dot, shared, n_a, n_b): classes a of the left and b of the right split with a dot product of threshold or more.
 
     A class that both splits have is paired with itself. shared counts the common terms, n_a and n_b the terms.
+    together: how many posted terms name an inverted list; the result is the same for any.
     """
-    posted = _postings(vecs, threshold)
+    posted = _postings(vecs, threshold, together)
     a = posted.filter("left").select("key", *[F.col(c).alias(f"{c}_a") for c in ("cls", "map", "least")])
     b = posted.filter("right").select("key", *[F.col(c).alias(f"{c}_b") for c in ("cls", "map", "least")])
     lost_a = F.bit_count(F.col("map_a").bitwiseAND(F.bitwise_not("map_b"))) * F.col("least_a")
