@@ -159,6 +159,22 @@ def test_near_duplicates_equal_brute_force(spark, share, k):
     assert {i: g for i, g in got.items() if i < 300} == {i: root(i) for i in got if i < 300} and got[302] == got[303] == 302
 
 
+def test_classes_by_shuffle_equal_classes_by_broadcast(spark, monkeypatch):
+    import gleanwell.operators.skew as skew
+
+    real = skew.join_counted
+    rows = near_rows()
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    want = pairs(near_duplicates.groups(near_duplicates.link(df, "id", F.col("text"), 0.5, 3)))
+    texts = spark.createDataFrame([(i, f"ｔext {i % 4}" if i % 3 else f"text {i % 4}") for i in range(60)], "id bigint, text string")
+    alike = pairs(lookalikes.alike_pairs(lookalikes.classes(texts, "id", "text")))
+    for module in (near_duplicates, lookalikes):
+        monkeypatch.setattr(module, "join_counted", lambda *a: real(*a, bound=0))
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    assert pairs(near_duplicates.groups(near_duplicates.link(df, "id", F.col("text"), 0.5, 3))) == want
+    assert pairs(lookalikes.alike_pairs(lookalikes.classes(texts, "id", "text"))) == alike and len(alike) > 100
+
+
 def test_near_duplicates_of_nothing(spark):
     links = near_duplicates.link(spark.createDataFrame([], "id bigint, text string"), "id", F.col("text"))
     assert near_duplicates.record_pairs(links, 5).count() == 0 and near_duplicates.groups(links).count() == 0
@@ -222,8 +238,8 @@ def test_overlaps_equal_brute_force(spark):
     assert pairs(split_overlap.overlaps(df)) == want
 
 
-@pytest.mark.parametrize("threshold", [0.6, 0.9])
-def test_weighted_cosine_equals_brute_force(spark, threshold):
+@pytest.mark.parametrize(("threshold", "together"), [(0.6, 2), (0.9, 2), (0.9, 3), (0.7, 1)])
+def test_weighted_cosine_equals_brute_force(spark, threshold, together):
     rows = [r for r in question_rows() if r[0] != "n1"]
     vecs = split_overlap.vectors(spark.createDataFrame(rows, "key string, left boolean, right boolean, text string"), "idf")
     sets = {k: frozenset(WORD.findall((t or "").lower())) for k, _, _, t in rows}
@@ -233,7 +249,7 @@ def test_weighted_cosine_equals_brute_force(spark, threshold):
     norm = lambda s: np.sqrt(sum(weight(w) ** 2 for w in s))
     cos = lambda a, b: sum(weight(w) ** 2 for w in a & b) / (norm(a) * norm(b))
     want = {(a[0], b[0]) for a in rows for b in rows if a[1] and b[2] and sets[a[0]] and sets[b[0]] and cos(sets[a[0]], sets[b[0]]) >= threshold - 1e-9}
-    assert pairs(split_overlap.record_pairs(vecs, split_overlap.class_pairs(vecs, threshold))) == want
+    assert pairs(split_overlap.record_pairs(vecs, split_overlap.class_pairs(vecs, threshold, together))) == want
 
 
 def test_overlaps_of_nothing(spark):
