@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..runtime import BROADCAST_ROWS, materialise
+from ..runtime import broadcast_if_small, materialise
 from .ranking import top
 
 K1, B = 1.2, 0.75
 #: Terms in more than this share of the documents only finish scores; they find no candidates unless a question needs them.
-COMMON = 0.1
+COMMON = 0.3
 
 
-def doc_lengths(docs: DataFrame, key: str, text: F.Column) -> DataFrame:
+def doc_lengths(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """(doc, words): the number of words of every document."""
     return docs.select(F.col(key).alias("doc"), F.size(tokens(text)).alias("words"))
 
 
-def postings(docs: DataFrame, key: str, text: F.Column) -> DataFrame:
+def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """(term, doc, tf, words), one row per document and distinct word; words is the document's length."""
     rows = docs.select(F.col(key).alias("doc"), tokens(text).alias("w")).withColumn("words", F.size("w"))
     return rows.select("doc", "words", F.explode("w").alias("term")).groupBy("doc", "words", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -30,22 +32,40 @@ def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(docs: DataFrame, key: str, text: F.Column, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, doc, score, rank): the k best documents for each of queries(qid, query), ties by doc; scores are rounded to 6 places.
+class Index(NamedTuple):
+    """postings: (term, doc, tf, words); stats: (term, idf, common), both for the asked terms alone; mean: words of a document."""
+
+    postings: DataFrame
+    stats: DataFrame
+    mean: float
+
+
+def build(docs: DataFrame, key: str, text: Column, terms: DataFrame) -> Index:
+    """The index of docs for terms(term); document frequencies, lengths and their mean count all documents. Written to the shared folder."""
+    n, mean = doc_lengths(docs, key, text).agg(F.count(F.lit(1)), F.avg("words")).first()
+    rows = postings(docs, key, text)
+    asked = materialise(terms.select("term").distinct(), "terms")
+    post = materialise(rows.join(broadcast_if_small(asked, asked.count()), "term", "left_semi"), "postings")
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    stats = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf.alias("idf"), (F.col("df") > COMMON * n).alias("common"))
+    return Index(post, materialise(stats, "idf"), float(mean or 0.0))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(qid, term): the distinct words of queries(qid, query)."""
+    return queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+
+
+def search(ix: Index, asked: DataFrame, k: int) -> DataFrame:
+    """(qid, doc, score, rank): the k best documents for each question of asked(qid, term), ties by doc; scores are rounded to 6 places.
 
     Words in many documents match most of them and add little. They are left to the end: a question's rarer words find candidates
     and a floor for its k-th score; documents that can't reach it even with all frequent words are dropped, the others get the
     frequent words' part. A question whose frequent words alone could reach the floor is scored with all its words.
     """
-    n, mean = doc_lengths(docs, key, text).agg(F.count(F.lit(1)), F.avg("words")).first()
-    asked = materialise(queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")), "asked")
-    terms = asked.select("term").distinct()
-    rows = postings(docs, key, text)
-    post = materialise(rows.join(F.broadcast(terms) if asked.count() <= BROADCAST_ROWS else terms, "term", "left_semi"), "postings")
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    stats = materialise(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf.alias("idf"), (F.col("df") > COMMON * n).alias("common")), "idf")
-    known = materialise(asked.join(stats, "term"), "known")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / F.lit(mean)))
+    post = ix.postings
+    known = materialise(asked.join(ix.stats, "term"), "known")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / F.lit(ix.mean)))
     rare = materialise(known.filter(~F.col("common")).join(post, "term").groupBy("qid", "doc").agg(F.sum(part).alias("part")), "rare")
     rest = known.groupBy("qid").agg(F.coalesce(F.sum(F.when(F.col("common"), F.col("idf") * (K1 + 1))), F.lit(0.0)).alias("rest"))
     floor = top(rare, ["qid"], [F.desc("part")], k).groupBy("qid").agg(F.when(F.count(F.lit(1)) == k, F.min("part")).alias("floor"))
@@ -58,6 +78,12 @@ def bm25(docs: DataFrame, key: str, text: F.Column, queries: DataFrame, k: int)
     return top(scores, ["qid"], [F.desc("score"), F.col("doc")], k)
 
 
+def bm25(docs: DataFrame, key: str, text: Column, queries: DataFrame, k: int) -> DataFrame:
+    """build and search in one: the k best documents for each of queries(qid, query)."""
+    asked = materialise(query_terms(queries), "asked")
+    return search(build(docs, key, text, asked), asked, k)
+
+
 def missing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys of left that right lacks, without repetition: the two directions of an index check."""
     return left.select(key).filter(F.col(key).isNotNull()).distinct().join(right.select(key).distinct(), key, "left_anti")

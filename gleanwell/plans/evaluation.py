@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import facts, metrics, model, sampling, statistics, upkeep
-from ..runtime import table
+from ..runtime import spread, table
 from ..streaming import rate_limit
 from . import views
 
@@ -74,7 +74,8 @@ def unsupported(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return facts.evidence(views.questions(spark, d)), table(spark, d, "corpus_documents").select(text.doc_id(F.col("url")).alias("doc_id"), F.col("body").alias("text"))
+    pages = spread(table(spark, d, "corpus_documents").select("corpus_id", "url", "body"), "corpus_id")
+    return facts.evidence(views.questions(spark, d)), pages.select(text.doc_id(F.col("url")).alias("doc_id"), F.col("body").alias("text"))
 
 
 def fact_grounding(spark: SparkSession, d: str) -> DataFrame:

@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import approx_tokens, doc_id, joined_id, query_features
-from ..operators import chunking, dense, index, metrics, ranking, signals
-from ..runtime import table
+from ..operators import chunking, dense, index, loop, metrics, ranking, signals
+from ..runtime import spread, table
 from . import views
 
 _TEXT = r"coalesce(title, '') || chr(10) || coalesce(body, '')"
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "corpus_documents").select("corpus_id", "title", "body"), "corpus_id")
+
+
 def _article(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "corpus_documents").withColumn("text", F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit(""))))
+    return _pages(spark, d).withColumn("text", F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit(""))))
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +49,7 @@ def paragraph_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of every page."""
-    return chunking.chunk(table(spark, d, "corpus_documents"), "corpus_id", F.col("body"), target=120, most=160, overlap=20, separator="\n")
+    return chunking.chunk(_pages(spark, d), "corpus_id", F.col("body"), target=120, most=160, overlap=20, separator="\n")
 
 
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -69,6 +73,12 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return index.bm25(_article(spark, d), "corpus_id", F.col("text"), _asked(spark, d), 20).withColumnRenamed("doc", "corpus_id")
 
 
+def multi_hop(spark: SparkSession, d: str) -> DataFrame:
+    """How up to three hops of search ended for every question whose id is divisible by 50."""
+    t = loop.multi_hop(_article(spark, d), "corpus_id", F.col("text"), _asked(spark, d)).traces
+    return t.groupBy("reason", "hops").agg(F.count(F.lit(1)).alias("questions"), F.sum("docs").alias("docs"), F.round(F.avg("covered"), 6).alias("covered"))
+
+
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     """The 20 nearest vectors of every vector whose id is divisible by 50."""
     v = table(spark, d, "embeddings")
@@ -164,7 +174,7 @@ def question_features(spark: SparkSession, d: str) -> DataFrame:
     return views.questions(spark, d).filter("query IS NOT NULL").select("qa_id", *[c.alias(n) for n, c in query_features(F.col("query")).items()])
 
 
-QUERIES = {f.__name__: f for f in (doc_ids, qa_ids, token_counts, paragraph_stats, chunks, chunk_stats, doc_stats, term_stats, bm25_topk, dense_topk, index_gaps, rrf_fuse, rerank_topk, context_matched, collapse_docs, context_budget, merge_hops, new_docs_per_hop, retrieval_metrics, metrics_by_group, retrieval_signals, list_agreement, rerank_signals, question_features)}
+QUERIES = {f.__name__: f for f in (doc_ids, qa_ids, token_counts, paragraph_stats, chunks, chunk_stats, doc_stats, term_stats, bm25_topk, multi_hop, dense_topk, index_gaps, rrf_fuse, rerank_topk, context_matched, collapse_docs, context_budget, merge_hops, new_docs_per_hop, retrieval_metrics, metrics_by_group, retrieval_signals, list_agreement, rerank_signals, question_features)}
 
 _V = "WITH " + views.SQL
 _WORDS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"

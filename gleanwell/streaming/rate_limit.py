@@ -18,12 +18,33 @@ from pyspark.sql.window import Window
 LIMIT, SECONDS = 5, 60.0
 
 
+#: Windows that a slot of time is long; a client's rows are ordered slot by slot, so a busy client takes many tasks.
+SLOT = 50
+
+
+def _stretches(rows: DataFrame, client: str, key: str, gap: int) -> DataFrame:
+    """rows with __stretch: the time of the last event of the client, this one included, before which it was silent for over gap."""
+    rows = rows.withColumn("__slot", F.floor(F.col("__us") / (SLOT * gap)))
+    slot, slots = [client, "__slot"], Window.partitionBy(client).orderBy("__slot")
+    within = Window.partitionBy(*slot).orderBy("__us", key)
+    ends = rows.groupBy(*slot).agg(F.max("__us").alias("__hi")).select(*slot, F.lag("__hi").over(slots).alias("__before"))
+    before = F.coalesce(F.lag("__us").over(within), F.col("__before"))
+    flagged = rows.join(ends, slot).withColumn("__start", F.when(before.isNull() | (F.col("__us") - before > gap), F.col("__us")))
+    starts = flagged.groupBy(*slot).agg(F.max("__start").alias("__last"))
+    carried = starts.select(*slot, F.last("__last", True).over(slots.rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    own = F.max("__start").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    return flagged.withColumn("__own", own).join(carried, slot).withColumn("__stretch", F.coalesce("__own", "__carried"))
+
+
 def limited(events: DataFrame, client: str, time: str, key: str, limit: int = LIMIT, seconds: float = SECONDS) -> DataFrame:
-    """events(client, time, key) with allowed. Ties of time go by key; rows with a null client or time are dropped."""
+    """events(client, time, key) with allowed. Ties of time go by key; rows with a null client or time are dropped.
+
+    A client's rows are spread over slots of time; only a stretch without a silence, whose events depend on each other one by one,
+    is settled in one task.
+    """
     rows = events.filter(F.col(client).isNotNull() & F.col(time).isNotNull()).select(client, key, time, F.unix_micros(F.col(time).cast("timestamp")).alias("__us"))
-    window, gap = Window.partitionBy(client).orderBy("__us", key), int(seconds * 1_000_000)
-    starts = F.coalesce((F.col("__us") - F.lag("__us").over(window) > gap).cast("int"), F.lit(1))
-    stretch = rows.withColumn("__start", starts).withColumn("__stretch", F.sum("__start").over(window))
+    gap = int(seconds * 1_000_000)
+    stretch = _stretches(rows, client, key, gap)
     grouped = stretch.groupBy(client, "__stretch").agg(F.array_sort(F.collect_list(F.struct("__us", key, time))).alias("es"))
     kind = f"array<struct<us:bigint,key:{dict(events.dtypes)[key]},time:{dict(events.dtypes)[time]},allowed:boolean>>"
     start = F.struct(F.array().cast("array<bigint>").alias("recent"), F.array().cast(kind).alias("out"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanwell.functions import text
-from gleanwell.operators import chunking, dense, index, metrics, model, ranking, sampling, skew, statistics, upkeep
+from gleanwell.operators import chunking, dense, index, loop, metrics, model, ranking, sampling, skew, statistics, upkeep
 
 
 def rows(df):
@@ -207,3 +207,14 @@ def test_statistics(spark):
     low, high = statistics.wilson(F.lit(8), F.lit(10))
     r = spark.range(1).select(low, high).first()
     assert r[0] == pytest.approx(0.4902, abs=1e-3) and r[1] == pytest.approx(0.9433, abs=1e-3)
+
+
+def test_hops_stop_for_their_reasons(spark):
+    docs = [(1, "alpha beta"), (2, "gamma delta"), (3, "alpha"), (4, "epsilon " * 3)]
+    queries = [("both", "alpha beta gamma delta"), ("one", "alpha beta"), ("half", "epsilon zeta eta"), ("none", "zeta"), ("null", None)]
+    d, q = spark.createDataFrame(docs, "id int, t string"), spark.createDataFrame(queries, "qid string, query string")
+    h = loop.multi_hop(d, "id", F.col("t"), q, hops=3, k=1)
+    assert rows(h.traces.select("qid", "hops", "docs", "reason")) == [("both", 2, 2, "sufficient"), ("half", 2, 1, "nothing_new"), ("one", 1, 1, "sufficient")]
+    assert rows(h.evidence.select("qid", "hop", "doc"))[:2] == [("both", 1, 2), ("both", 2, 1)]  # the rarer words first
+    short = loop.multi_hop(d, "id", F.col("t"), q.filter("qid = 'both'"), hops=1, k=1).traces.first()
+    assert (short["reason"], short["covered"]) == ("max_hops", 0.5)
