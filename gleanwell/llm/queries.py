@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import spread, table
 from . import leakage, lookalikes, near_duplicates, packing, page_body, quota_sample, repeated_lines, split_overlap
 
 
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "corpus_documents"), "corpus_id")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def _plans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(table(spark, sf_dir, x) for x in ("phase9_holdout_report", "sample_plans", "sample_targets"))
 
@@ -32,18 +40,18 @@ def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that at least 10 pages of their site hold."""
-    return repeated_lines.repeated_places(repeated_lines.mine(table(spark, sf_dir, "corpus_documents")))
+    return repeated_lines.repeated_places(repeated_lines.mine(_corpus(spark, sf_dir)))
 
 
 def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with its body freed of repeated lines."""
-    corpus = table(spark, sf_dir, "corpus_documents")
+    corpus = _corpus(spark, sf_dir)
     return repeated_lines.without_repeated_lines(corpus, repeated_lines.mine(corpus)).select("corpus_id", "clean_body", "removed_lines")
 
 
 def p2_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent line sequences by length: how many there are and the pages that hold the commonest."""
-    mined = repeated_lines.mine(table(spark, sf_dir, "corpus_documents"))
+    mined = repeated_lines.mine(_corpus(spark, sf_dir))
     return mined.patterns.groupBy("length").agg(F.count(F.lit(1)).alias("patterns"), F.max("docs").alias("most_docs"))
 
 
@@ -53,28 +61,28 @@ def _article_text() -> Column:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of pages that share at least half of their word triples."""
-    links = near_duplicates.link(table(spark, sf_dir, "corpus_documents"), "corpus_id", _article_text(), threshold=0.5, shingle=3)
+    links = near_duplicates.link(_corpus(spark, sf_dir), "corpus_id", _article_text(), threshold=0.5, shingle=3)
     return near_duplicates.record_pairs(links, 3).select(F.col("a").alias("corpus_id_a"), F.col("b").alias("corpus_id_b"))
 
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every page at five words and a similarity of 0.8."""
-    links = near_duplicates.link(table(spark, sf_dir, "corpus_documents"), "corpus_id", _article_text())
+    links = near_duplicates.link(_corpus(spark, sf_dir), "corpus_id", _article_text())
     return near_duplicates.groups(links).withColumnRenamed("id", "corpus_id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every page that are not part of its article."""
-    return page_body.furniture(table(spark, sf_dir, "corpus_documents"))
+    return page_body.furniture(_corpus(spark, sf_dir))
 
 
 def p4_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article of every page."""
-    return page_body.articles(table(spark, sf_dir, "corpus_documents"))
+    return page_body.articles(_corpus(spark, sf_dir))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_overlap.split_questions(table(spark, sf_dir, "qa_records"), table(spark, sf_dir, "benchmark_manifest"), "development", "final_holdout")
+    return split_overlap.split_questions(spread(table(spark, sf_dir, "qa_records"), "record_id"), table(spark, sf_dir, "benchmark_manifest"), "development", "final_holdout")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +106,7 @@ def p5_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every text or piece at each capacity."""
-    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "pack_capacities"))
+    return packing.pack(_documents(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "pack_capacities"))
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,25 +120,25 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold 12 consecutive words of a held-out passage."""
-    hits = leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_passages"))
+    hits = leakage.leaks(_documents(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "eval_passages"))
     return hits.filter("distance = 0").select(F.col("id").alias("doc_id"), "item_id").distinct()
 
 
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaked passages: documents that hold part of them, word for word and within two words."""
-    hits = leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_passages"))
+    hits = leakage.leaks(_documents(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "eval_passages"))
     return hits.groupBy("item_id").agg(F.count_if(F.col("distance") == 0).alias("exact_docs"), F.count(F.lit(1)).alias("near_docs"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents whose stored texts differ but look alike."""
-    pairs = lookalikes.alike_pairs(lookalikes.classes(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    pairs = lookalikes.alike_pairs(lookalikes.classes(_documents(spark, sf_dir), "doc_id", "text"))
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the text of the canonical member of its class."""
-    documents = table(spark, sf_dir, "documents")
+    documents = _documents(spark, sf_dir)
     members = lookalikes.classes(documents, "doc_id", "text")
     return lookalikes.with_canonical(documents, "doc_id", "text", members).withColumnRenamed("id", "doc_id")
 
