@@ -73,6 +73,32 @@ def unsupported(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("pipeline", "question_type").agg(F.count_if(flag).alias("unsupported"), F.count_if(~flag).alias("supported"), F.count_if(flag.isNull()).alias("unknown"))
 
 
+def _grades(spark: SparkSession, d: str) -> DataFrame:
+    scores = table(spark, d, "judge_scores").groupBy("qa_id").agg(F.max_by(F.struct("grade", "score"), F.struct("score", "grade")).alias("j"))
+    return scores.select("qa_id", F.col("j.grade").alias("grade"), F.col("j.score").alias("score"))
+
+
+def task_success(spark: SparkSession, d: str) -> DataFrame:
+    """What can be said of answers without a judge, by pipeline and type, and how often the judge agrees."""
+    t = views.traces(spark, d).filter("answer IS NOT NULL AND gold_answer IS NOT NULL AND question_type IS NOT NULL").join(_grades(spark, d), "qa_id", "left")
+    gold, said = F.lower(text.strip(F.col("gold_answer"))), text.verdict(F.col("answer"))
+    plain = ~text.abstains(F.col("answer")) & (F.col("question_type") != "null_query")
+    judged = plain & F.col("question_type").isin("comparison_query", "temporal_query") & gold.isin(*text.VERDICTS) & said.isNotNull()
+    t = t.withColumn("plain", plain).withColumn("right", F.when(judged, said == gold))
+    agree = F.when(F.col("right"), F.col("grade") == "correct").when(~F.col("right"), F.col("grade") == "incorrect")
+    return t.groupBy("pipeline", "question_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("plain") | F.col("right").isNotNull()).alias("confident"),
+        F.count_if("right").alias("correct"), F.count_if(agree).alias("agree"), F.count_if(~agree).alias("disagree"),
+    )
+
+
+def combined_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Mean quality by pipeline: refusal for questions without an answer, the judge's score for the others; unjudged ones are left out."""
+    t = views.traces(spark, d).filter("answer IS NOT NULL AND question_type IS NOT NULL").join(_grades(spark, d), "qa_id", "left")
+    q = F.when(F.col("question_type") == "null_query", text.abstains(F.col("answer")).cast("double")).otherwise(F.col("score"))
+    return t.groupBy("pipeline").agg(F.count(q).alias("n"), F.round(F.avg(q), 6).alias("quality"))
+
+
 def _facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     pages = spread(table(spark, d, "corpus_documents").select("corpus_id", "url", "body"), "corpus_id")
     return facts.evidence(views.questions(spark, d)), pages.select(text.doc_id(F.col("url")).alias("doc_id"), F.col("body").alias("text"))
@@ -252,7 +278,7 @@ def rate_limited(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("refused"))
 
 
-QUERIES = {f.__name__: f for f in (latency_percentiles, evidence_coverage, answer_scores, abstention, verdicts, entity_containment, unsupported, fact_grounding, fact_survival, judge_parse, confusion_matrix, class_scores, route_order, threshold_curve, fold_assignment, router_coefficients, router_probabilities, paired_delta, bootstrap_ci, hop_tiers, replay_overlap, allocation, stratified_sample, manifest_checks, type_distribution, latest_traces, remaining_questions, upsert_routes, grade_conflicts, split_drift, rate_limited)}
+QUERIES = {f.__name__: f for f in (latency_percentiles, evidence_coverage, answer_scores, abstention, verdicts, entity_containment, unsupported, task_success, combined_quality, fact_grounding, fact_survival, judge_parse, confusion_matrix, class_scores, route_order, threshold_curve, fold_assignment, router_coefficients, router_probabilities, paired_delta, bootstrap_ci, hop_tiers, replay_overlap, allocation, stratified_sample, manifest_checks, type_distribution, latest_traces, remaining_questions, upsert_routes, grade_conflicts, split_drift, rate_limited)}
 
 _V = "WITH " + views.SQL
 _NORMAL = r"array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(lower({0}), '[[:punct:]]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+'), lambda w: w NOT IN ('a', 'an', 'the', '')), ' ')"
@@ -351,3 +377,13 @@ SELECT qa_id, pipeline, num_retrieval_calls FROM tr WHERE pipeline = 'always_age
 x AS (SELECT qa_id, min(split) AS s FROM i WHERE release_id = (SELECT a FROM e) GROUP BY 1), y AS (SELECT qa_id, min(split) AS s FROM i WHERE release_id = (SELECT b FROM e) GROUP BY 1)
 SELECT * FROM (SELECT coalesce(x.qa_id, y.qa_id) AS qa_id, CASE WHEN y.qa_id IS NULL THEN 'missing' WHEN x.qa_id IS NULL THEN 'added' WHEN x.s IS DISTINCT FROM y.s THEN 'changed' END AS state FROM x FULL JOIN y ON x.qa_id = y.qa_id) WHERE state IS NOT NULL""",
 }
+_GRADED = "gr AS (SELECT qa_id, arg_max({'g': grade, 's': score}, {'s': coalesce(score, -1), 'g': grade}) AS j FROM judge_scores GROUP BY qa_id)"
+ORACLES |= {
+    "task_success": f"""{ORACLES["verdicts"].rpartition("SELECT pipeline, qa_id, verdict, CASE")[0].rstrip()}, {_GRADED},
+x AS (SELECT tr.*, j.g AS grade, v.verdict, v.g AS gold, (NOT {_ABSTAINS} AND question_type <> 'null_query') AS plain FROM tr JOIN v USING (pipeline, qa_id) LEFT JOIN gr USING (qa_id) WHERE question_type IS NOT NULL),
+y AS (SELECT *, CASE WHEN plain AND question_type IN ('comparison_query', 'temporal_query') AND gold IN ({", ".join(f"'{w}'" for w in text.VERDICTS)}) AND verdict IS NOT NULL THEN verdict = gold END AS ok FROM x)
+SELECT pipeline, question_type, count(*) AS n, count(*) FILTER (NOT plain OR ok IS NOT NULL) AS confident, count(*) FILTER (ok) AS correct,
+count(*) FILTER ((ok AND grade = 'correct') OR (NOT ok AND grade = 'incorrect')) AS agree, count(*) FILTER ((ok AND grade <> 'correct') OR (NOT ok AND grade <> 'incorrect')) AS disagree FROM y GROUP BY ALL""",
+    "combined_quality": f"""{_V}, {_GRADED}, q AS (SELECT pipeline, CASE WHEN question_type = 'null_query' THEN {_ABSTAINS}::INT::DOUBLE ELSE j.s END AS q FROM tr LEFT JOIN gr USING (qa_id) WHERE answer IS NOT NULL AND question_type IS NOT NULL)
+SELECT pipeline, count(q) AS n, round(avg(q), 6) AS quality FROM q GROUP BY pipeline""",
+}

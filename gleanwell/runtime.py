@@ -45,9 +45,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives the loss of executors."""
+    """Write df to the shared folder and read it back: cuts the lineage, survives the loss of executors.
+
+    Results read these tables until they are written; the folder gleanwell/<application id> can be removed afterwards.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gleanwell/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gleanwell/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
