@@ -23,6 +23,16 @@ VERDICTS = ("yes", "no", "true", "false", "similar", "consistent", "change", "al
 OPPOSITES = {"yes": "no", "no": "yes", "true": "false", "false": "true"}
 NEGATORS = ("not", "never", "cannot", "can't", "doesn't", "does not", "did not", "didn't")
 HEDGES = ("uncertain", "unsure", "unclear", "unknown", "whether")
+# Phrases that decline, phrases that hedge, and verbs that announce a statement.
+DECLINE = (
+    "insufficient", "not enough information", "does not contain enough information", "no information", "cannot be determined", "cannot determine",
+    "don't have enough information", "do not have enough information", "unable to determine", "unable to answer",
+)
+HEDGE = ("cannot be certain", "can't be certain", "is limited", "are limited", "not entirely clear", "is unclear", "are unclear")
+ASSERTING = (
+    "the answer is", "indicates", "indicate", "suggests", "suggest", "confirms", "confirm", "reveals", "reveal", "shows that", "show that", "states that", "state that",
+    "is described as", "are described as", "identifies", "identify", "attributes", "attribute",
+)
 
 
 def doc_id(url: Column) -> Column:
@@ -133,6 +143,18 @@ def verdict(answer: Column) -> Column:
     return F.coalesce(F.get(later, F.size(later) - 1), first, F.get(last, F.size(last) - 1))
 
 
+def response_structure(answer: Column) -> Column:
+    """clean_abstention, answer_with_uncertainty, substantive_answer or ambiguous: an answer that declines or hedges still answers if
+    a capitalised word stands within 60 characters of a verb that announces a statement. Blank is ambiguous, null null."""
+    low = F.regexp_replace(F.lower(strip(answer)), r"\s+", " ")
+    has = lambda phrases: F.rlike(low, F.lit("|".join(rf"\Q{p}\E" for p in phrases)))
+    windows = F.flatten(F.array(*[F.regexp_extract_all(answer, F.lit(rf"(?is)\Q{m}\E(?=(.{{0,60}}))"), F.lit(1)) for m in ASSERTING]))
+    names = F.exists(windows, lambda w: F.rlike(w, F.lit(r"\b[A-Z][a-zA-Z'\-]*\b")))
+    declines, hedges = has(DECLINE), has(HEDGE)
+    out = F.when(low == "", "ambiguous").when(~declines & ~hedges, "substantive_answer").when(names, "answer_with_uncertainty").when(declines, "clean_abstention").otherwise("ambiguous")
+    return F.when(answer.isNotNull(), out)
+
+
 def query_features(q: Column) -> dict[str, Column]:
     """Ten transparent features of a question, by name."""
     words = F.regexp_extract_all(F.lower(q), F.lit(r"[a-zA-Z']+"), F.lit(0))

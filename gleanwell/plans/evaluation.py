@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import facts, metrics, model, sampling, statistics, upkeep
+from ..operators import facts, metrics, model, ranking, sampling, statistics, upkeep
 from ..runtime import spread, table
 from ..streaming import rate_limit
 from . import views
@@ -59,6 +59,29 @@ def verdicts(spark: SparkSession, d: str) -> DataFrame:
     return t.select("pipeline", "qa_id", v.alias("verdict"), outcome.alias("outcome"))
 
 
+def response_structure(spark: SparkSession, d: str) -> DataFrame:
+    """Whether answers state something, decline or do both, by pipeline."""
+    t = views.traces(spark, d).filter("answer IS NOT NULL")
+    return t.groupBy("pipeline", text.response_structure(F.col("answer")).alias("structure")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def evidence_routes(spark: SparkSession, d: str) -> DataFrame:
+    """The cheapest list whose first five documents hold all gold documents of a question: fused, reranked, or neither."""
+    lists = ranking.collapse(views.ranked(spark, d)).filter(F.col("method").isin("rrf", "rerank"))
+    g = views.gold(spark, d)
+    hits = lists.filter(F.col("rank") <= 5).join(g, ["qid", "doc_id"]).groupBy("qid", "method").agg((F.count(F.lit(1)) == F.first("hops")).alias("whole"))
+    asked = lists.select("qid").distinct().join(g.select("qid", "hops").distinct(), "qid")
+    best = hits.filter("whole").groupBy("qid").agg(F.max(F.col("method") == "rrf").alias("fused"))
+    route = F.when(F.col("fused"), "SIMPLE").when(F.col("fused").isNotNull(), "MEDIUM").otherwise("COMPLEX")
+    return asked.join(best, "qid", "left").select("qid", F.col("hops").alias("hop_count"), route.alias("route"))
+
+
+def shortest_questions(spark: SparkSession, d: str) -> DataFrame:
+    """The shortest question of every type."""
+    q = views.questions(spark, d).filter("query IS NOT NULL AND question_type IS NOT NULL")
+    return q.groupBy("question_type").agg(F.min_by("query", F.struct(F.length("query"), "qa_id")).alias("query"))
+
+
 def entity_containment(spark: SparkSession, d: str) -> DataFrame:
     """Whether answers to inference questions hold the gold entity."""
     t = views.traces(spark, d).filter("question_type = 'inference_query' AND answer IS NOT NULL AND gold_answer IS NOT NULL")
@@ -278,7 +301,7 @@ def rate_limited(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("refused"))
 
 
-QUERIES = {f.__name__: f for f in (latency_percentiles, evidence_coverage, answer_scores, abstention, verdicts, entity_containment, unsupported, task_success, combined_quality, fact_grounding, fact_survival, judge_parse, confusion_matrix, class_scores, route_order, threshold_curve, fold_assignment, router_coefficients, router_probabilities, paired_delta, bootstrap_ci, hop_tiers, replay_overlap, allocation, stratified_sample, manifest_checks, type_distribution, latest_traces, remaining_questions, upsert_routes, grade_conflicts, split_drift, rate_limited)}
+QUERIES = {f.__name__: f for f in (latency_percentiles, evidence_coverage, answer_scores, abstention, verdicts, response_structure, evidence_routes, shortest_questions, entity_containment, unsupported, task_success, combined_quality, fact_grounding, fact_survival, judge_parse, confusion_matrix, class_scores, route_order, threshold_curve, fold_assignment, router_coefficients, router_probabilities, paired_delta, bootstrap_ci, hop_tiers, replay_overlap, allocation, stratified_sample, manifest_checks, type_distribution, latest_traces, remaining_questions, upsert_routes, grade_conflicts, split_drift, rate_limited)}
 
 _V = "WITH " + views.SQL
 _NORMAL = r"array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(lower({0}), '[[:punct:]]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+'), lambda w: w NOT IN ('a', 'an', 'the', '')), ' ')"
@@ -386,4 +409,8 @@ SELECT pipeline, question_type, count(*) AS n, count(*) FILTER (NOT plain OR ok
 count(*) FILTER ((ok AND grade = 'correct') OR (NOT ok AND grade = 'incorrect')) AS agree, count(*) FILTER ((ok AND grade <> 'correct') OR (NOT ok AND grade <> 'incorrect')) AS disagree FROM y GROUP BY ALL""",
     "combined_quality": f"""{_V}, {_GRADED}, q AS (SELECT pipeline, CASE WHEN question_type = 'null_query' THEN {_ABSTAINS}::INT::DOUBLE ELSE j.s END AS q FROM tr LEFT JOIN gr USING (qa_id) WHERE answer IS NOT NULL AND question_type IS NOT NULL)
 SELECT pipeline, count(q) AS n, round(avg(q), 6) AS quality FROM q GROUP BY pipeline""",
+    "evidence_routes": f"""{_V}, l AS (SELECT * FROM collapsed WHERE method IN ('rrf', 'rerank')), h AS (SELECT l.qid, method, count(*) = any_value(hops) AS whole FROM l JOIN gold g ON g.qid = l.qid AND g.doc_id = l.doc_id WHERE rank <= 5 GROUP BY ALL),
+b AS (SELECT qid, bool_or(method = 'rrf') AS fused FROM h WHERE whole GROUP BY qid), a AS (SELECT DISTINCT l.qid, g.hops FROM l JOIN gold g ON g.qid = l.qid)
+SELECT a.qid, hops AS hop_count, CASE WHEN fused THEN 'SIMPLE' WHEN fused IS NOT NULL THEN 'MEDIUM' ELSE 'COMPLEX' END AS route FROM a LEFT JOIN b USING (qid)""",
+    "shortest_questions": f"{_V} SELECT question_type, arg_min(query, {{'l': length(query), 'q': qa_id}}) AS query FROM questions WHERE query IS NOT NULL AND question_type IS NOT NULL GROUP BY question_type",
 }

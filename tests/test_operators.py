@@ -31,6 +31,17 @@ def test_verdict(spark, answer, expected):
     assert one(spark, text.verdict(F.col("a")), a=answer) == expected
 
 
+@pytest.mark.parametrize(
+    ("answer", "expected"),
+    [
+        ("Acme bought the mill.", "substantive_answer"), ("Insufficient information to answer.", "clean_abstention"), ("The data is limited, but it indicates that Acme won.", "answer_with_uncertainty"),
+        ("The picture is  unclear.", "ambiguous"), ("No information suggests " + "x" * 61 + " Acme", "clean_abstention"), (" ", "ambiguous"), (None, None),
+    ],
+)
+def test_response_structure(spark, answer, expected):
+    assert one(spark, text.response_structure(F.col("a")), a=answer) == expected
+
+
 def test_answer_rules(spark):
     assert one(spark, text.normal_answer(F.col("a")), a="  The U.S.  economy, an update! ") == "us economy update"
     f1 = lambda p, g: one(spark, text.token_f1(F.col("p"), F.col("g")), p=p, g=g)
