@@ -37,12 +37,25 @@ seated AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY fl DESC, C
 drawn AS (SELECT plan_id, k, hop_count, count(*) AS n FROM seated WHERE seat <= sample_size GROUP BY ALL)
 SELECT c.plan_id, c.question_type, c.hop_count, c.needed, coalesce(s.n, 0) AS available, coalesce(d.n, 0) AS drawn, greatest(c.needed - coalesce(s.n, 0), 0) AS short
 FROM cells c LEFT JOIN sizes s ON s.k = c.k AND s.hop_count = c.hop_count LEFT JOIN drawn d ON d.plan_id = c.plan_id AND d.k = c.k AND d.hop_count = c.hop_count""",
-    "p5_found": r"""
-WITH listed AS (SELECT DISTINCT split, unnest(qa_ids) AS id FROM benchmark_manifest WHERE split IN ('development', 'final_holdout')),
+}
+
+_OVERLAPS = r"""
+listed AS (SELECT DISTINCT split, unnest(qa_ids) AS id FROM benchmark_manifest WHERE split IN ('development', 'final_holdout')),
 words AS (SELECT DISTINCT qa_id AS id, list_distinct(list_filter(string_split_regex(lower(query), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS w FROM qa_records WHERE query IS NOT NULL),
 d AS (SELECT id, w FROM listed JOIN words USING (id) WHERE split = 'development' AND len(w) > 0),
 h AS (SELECT id, w FROM listed JOIN words USING (id) WHERE split = 'final_holdout' AND len(w) > 0),
-met AS (SELECT d.id AS a, h.id AS b, len(list_intersect(d.w, h.w)) AS s, len(d.w) + len(h.w) AS n FROM d JOIN h ON 5 * len(d.w) >= 4 * len(h.w) AND 5 * len(h.w) >= 4 * len(d.w))
-SELECT DISTINCT least(a, b) AS qa_id_a, greatest(a, b) AS qa_id_b FROM met WHERE 10 * s >= 8 * (n - s)
-UNION SELECT x.id, x.id FROM listed x JOIN listed y USING (id) WHERE x.split = 'development' AND y.split = 'final_holdout'""",
+met AS (SELECT d.id AS l, h.id AS r, len(list_intersect(d.w, h.w)) AS s, len(d.w) + len(h.w) AS n FROM d JOIN h ON 5 * len(d.w) >= 4 * len(h.w) AND 5 * len(h.w) >= 4 * len(d.w)),
+pairs AS (SELECT DISTINCT l, r FROM met WHERE 10 * s >= 8 * (n - s) UNION SELECT x.id, x.id FROM listed x JOIN listed y USING (id) WHERE x.split = 'development' AND y.split = 'final_holdout')
+"""
+ORACLES |= {
+    "p3_found": r"""
+WITH texts AS (SELECT corpus_id, list_filter(string_split_regex(lower(coalesce(title, '') || chr(10) || coalesce(body, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM corpus_documents),
+t AS (SELECT DISTINCT corpus_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS t FROM texts WHERE len(w) >= 3),
+n AS (SELECT corpus_id, count(*) AS n FROM t GROUP BY 1),
+s AS (SELECT a.corpus_id AS a, b.corpus_id AS b, count(*) AS s FROM t a JOIN t b ON a.t = b.t AND a.corpus_id < b.corpus_id GROUP BY ALL)
+SELECT a AS corpus_id_a, b AS corpus_id_b FROM s JOIN n x ON x.corpus_id = a JOIN n y ON y.corpus_id = b WHERE 2 * s >= x.n + y.n - s""",
+    "p5_found": f"WITH {_OVERLAPS} SELECT DISTINCT least(l, r) AS qa_id_a, greatest(l, r) AS qa_id_b FROM pairs",
+    "p5_counts": f"""WITH {_OVERLAPS}, sides AS (SELECT 'development' AS split, l AS id FROM pairs UNION ALL SELECT 'final_holdout', r FROM pairs), per AS (SELECT split, id, count(*) AS n FROM sides GROUP BY ALL),
+src AS (SELECT DISTINCT qa_id AS id, e.source AS source FROM (SELECT qa_id, unnest(CASE WHEN len(evidence_list) > 0 THEN evidence_list ELSE [NULL] END) AS e FROM qa_records))
+SELECT split, source, count(*) AS ids, CAST(sum(n) AS BIGINT) AS pairs FROM per LEFT JOIN src USING (id) GROUP BY ALL""",
 }
