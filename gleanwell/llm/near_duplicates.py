@@ -1,16 +1,17 @@
 """Near-duplicate records: an LSH forest over MinHash signatures, then exact verification.
 
-1. Every record gets its word shingles' MinHash values in TREES paths, a hash of its word sequence and a 112-bit sketch.
+1. Every record gets its word shingles' MinHash values in TREES paths or more, a hash of its word sequence and a 128-bit sketch. The number of
+   trees follows from the recall that a pair right at the threshold must have, never from the pairs that are found.
 2. Records with one word sequence are a class; the class's lowest id stands for it, so a hot group of copies is one record.
-3. In each tree, records that share a path prefix meet in a join on the prefix. A pair leaves the join only if the sketches allow
+3. In each tree, records that share a path of SHORT values meet in a join on the path. A pair leaves the join only if the sketches allow
    the threshold (four standard deviations of tolerance), so a bucket does not emit all its pairs.
-4. Candidates are verified exactly, the longest shared prefixes first. From the similarities found so far follows how many pairs a
-   prefix of that length must have missed; the prefix is shortened until the estimated recall reaches the target.
+4. Every candidate is verified exactly.
 5. Verified pairs of classes and the class of every record come out; pairs of records follow by joining both.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,32 +24,35 @@ from ..operators.skew import join_counted
 from ..runtime import BROADCAST_ROWS, materialise
 from .words import mix, shingles, word_hashes
 
+#: Trees at least; low thresholds take more of them.
 TREES = 64
-#: Values of a path that the trees are joined on; one more is kept to tell longer shared prefixes from shorter.
+#: Values of a path that the trees are joined on.
 SHORT = 4
-LONG = SHORT + 1
-SKETCH_BITS = 112
+SKETCH_BITS = 128
 _U = np.uint64
 
 
 class Links(NamedTuple):
-    """members: (id, rep, words), one row per record; pairs: (a, b, similarity) of different reps, a < b; recall: the estimate for pairs."""
+    """members: (id, rep, words), one row per record; pairs: (a, b, similarity) of different reps, a < b; recall: that of a pair right at the threshold, the least of all."""
 
     members: DataFrame
     pairs: DataFrame
     recall: float
 
 
-def _expected(similarity: np.ndarray, depth: int) -> np.ndarray:
-    return 1 - (1 - similarity**depth) ** TREES
+def trees_for(threshold: float, target: float) -> int:
+    """The trees in which a pair of the threshold's similarity shares a path of SHORT values with a chance of target or more."""
+    if threshold >= 1:
+        return TREES
+    return max(TREES, math.ceil(math.log(1 - target) / math.log(1 - threshold**SHORT)))
 
 
-def _signature_batches(size: int):
+def _signature_batches(size: int, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(20240611)
-        times = (rng.integers(0, 1 << 32, TREES * LONG, dtype=np.uint64) | _U(1)).astype(np.uint32)
-        plus = rng.integers(0, 1 << 32, TREES * LONG, dtype=np.uint64).astype(np.uint32)
-        tree = mix(np.arange(1, TREES + 1, dtype=_U))
+        times = (rng.integers(0, 1 << 32, trees * SHORT, dtype=np.uint64) | _U(1)).astype(np.uint32)
+        plus = rng.integers(0, 1 << 32, trees * SHORT, dtype=np.uint64).astype(np.uint32)
+        tree = mix(np.arange(1, trees + 1, dtype=_U))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for lo in range(0, len(texts), 512):
@@ -64,18 +68,17 @@ def _signature_batches(size: int):
                     np.cumsum(mix(words + mix(place + _U(seed))), out=sums[1:])
                     prints.append(mix(sums[at[1:]] - sums[at[:-1]] + counts.astype(_U)))
                 has = np.flatnonzero(np.diff(run_at))
-                least = np.zeros((n, TREES * LONG), dtype=np.uint32)
+                least = np.zeros((n, trees * SHORT), dtype=np.uint32)
                 if len(has):
                     low, starts = (runs >> _U(32)).astype(np.uint32), run_at[:-1][has]
-                    for i in range(TREES * LONG):
+                    for i in range(trees * SHORT):
                         least[has, i] = np.minimum.reduceat(low * times[i] + plus[i], starts)
-                paths = least.reshape(n, TREES, LONG).astype(_U)
-                keys = np.broadcast_to(tree, (n, TREES)).copy()
+                paths = least.reshape(n, trees, SHORT).astype(_U)
+                keys = np.broadcast_to(tree, (n, trees)).copy()
                 for k in range(SHORT):
                     keys = mix(keys ^ paths[:, :, k])
-                bits = (mix(least[:, : SKETCH_BITS + 16].astype(_U)) & _U(1)).astype(np.uint8)
+                bits = (mix(least[:, :SKETCH_BITS].astype(_U)) & _U(1)).astype(np.uint8)
                 sketch = np.packbits(bits, axis=1).view(">u8").astype(np.int64)
-                deep = (mix(paths[:, :, SHORT]) & _U(0xFFFF)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, n).cast(pa.int64()),
@@ -83,11 +86,10 @@ def _signature_batches(size: int):
                         pa.array(prints[0].view(np.int64)),
                         pa.array(prints[1].view(np.int64)),
                         pa.array(sketch[:, 0]),
-                        pa.array(sketch[:, 1] & ~np.int64(0xFFFF)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * TREES), pa.array(keys.view(np.int64).ravel())),
-                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * TREES), pa.array(deep.ravel())),
+                        pa.array(sketch[:, 1]),
+                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * trees), pa.array(keys.view(np.int64).ravel())),
                     ],
-                    names=["id", "words", "f1", "f2", "s1", "s2", "keys", "deep"],
+                    names=["id", "words", "f1", "f2", "s1", "s2", "keys"],
                 )
 
     return run
@@ -97,8 +99,8 @@ def _verify_batches(size: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts: dict[int, str] = dict(zip(a, batch.column(3).to_pylist()))
-            texts |= zip(b, batch.column(4).to_pylist())
+            texts: dict[int, str] = dict(zip(a, batch.column(2).to_pylist()))
+            texts |= zip(b, batch.column(3).to_pylist())
             sets: dict[int, np.ndarray] = {}
             names = list(texts)
             for lo in range(0, len(names), 512):
@@ -112,7 +114,7 @@ def _verify_batches(size: int, threshold: float):
                 shared = len(np.intersect1d(p, q, assume_unique=True))
                 out[i] = shared / max(1, len(p) + len(q) - shared)
             keep = pa.array(out >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out)], names=["a", "b", "depth", "similarity"]).filter(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["a", "b", "similarity"]).filter(keep)
 
     return run
 
@@ -122,38 +124,30 @@ def link(records: DataFrame, id_col: str, text: F.Column, threshold: float = 0.8
 
     id_col: a unique bigint; text: the column to compare. Null is the empty text; texts of under shingle words have no shingle and
     join no pair, though equal ones share a class. Texts of any length are taken whole. Repeated rows share a class. Columns other
-    than id_col and those of text are not read. An empty table gives empty results. Cases of similarity s are missed with a chance
-    of (1 - s^4)^64 at most, 1.6 % at 0.5 and under 1e-14 at 0.8; what is found is exact but for 64-bit hash collisions.
+    than id_col and those of text are not read. An empty table gives empty results. target: the recall of pairs right at the threshold,
+    below 1. A pair of similarity s is missed with a chance of (1 - s^4)^trees, trees being trees_for(threshold, target): under 0.5 %
+    at a threshold of 0.5 (83 trees), under 1e-14 at 0.8 (64), whatever else the table holds; low thresholds cost many trees (204 at 0.4).
+    The sketches lose under 0.01 % more. What is found is exact but for 64-bit hash collisions.
     """
     spark = records.sparkSession
     rows = records.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
-    schema = "id bigint, words int, f1 bigint, f2 bigint, s1 bigint, s2 bigint, keys array<bigint>, deep array<int>"
-    signed = materialise(rows.mapInArrow(_signature_batches(shingle), schema), "signatures")
+    trees = trees_for(threshold, target)
+    schema = "id bigint, words int, f1 bigint, f2 bigint, s1 bigint, s2 bigint, keys array<bigint>"
+    signed = materialise(rows.mapInArrow(_signature_batches(shingle, trees), schema), "signatures")
     reps = materialise(signed.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "reps")
     members = join_counted(signed.select("id", "words", "f1", "f2"), reps, ["f1", "f2"], "copies", *_size(reps, "copies"))
     members = materialise(members.select("id", "rep", "words"), "members")
     copies = members.filter(F.col("id") != F.col("rep")).select("id")
     n = copies.count()
     alone = signed.filter(F.col("words") >= shingle).join(F.broadcast(copies) if n <= BROADCAST_ROWS else copies, "id", "left_anti")
-    forest = alone.select("id", "s1", "s2", F.posexplode("keys").alias("t", "key"), "deep").select("key", "id", "s1", F.col("s2").bitwiseOR(F.col("deep")[F.col("t")].cast("bigint")).alias("s2"))
+    forest = alone.select(F.explode("keys").alias("key"), "id", "s1", "s2")
     least = int(SKETCH_BITS * (1 + threshold) / 2 - 4 * (SKETCH_BITS * (1 + threshold) * (1 - threshold)) ** 0.5 / 2)
     x, y = forest.alias("x"), forest.alias("y")
-    apart = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.shiftrightunsigned(F.col("x.s2").bitwiseXOR(F.col("y.s2")), 16))
+    apart = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (apart <= SKETCH_BITS - least))
-    same = F.col("x.s2").bitwiseAND(F.lit(0xFFFF)) == F.col("y.s2").bitwiseAND(F.lit(0xFFFF))
-    met = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.when(same, LONG).otherwise(SHORT).alias("depth"))
-    candidates = materialise(met.groupBy("a", "b").agg(F.max("depth").alias("depth")), "candidates")
-
-    found, recall = None, 1.0
-    for depth in range(LONG, SHORT - 1, -1):
-        verified = materialise(_verified(rows, candidates.filter(F.col("depth") == depth), shingle, threshold), "verified")
-        found = verified if found is None else found.unionByName(verified)
-        missed = 1 / (1 - F.pow(1 - F.pow("similarity", F.lit(depth)), F.lit(TREES)))
-        seen, total = found.agg(F.count(F.lit(1)), F.sum(missed)).first()
-        recall = seen / total if seen else _expected(np.array(threshold), depth).item()
-        if recall >= target:
-            break
-    return Links(members, found.select("a", "b", "similarity"), recall)
+    candidates = materialise(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "candidates")
+    found = materialise(_verified(rows, candidates, shingle, threshold), "verified")
+    return Links(members, found, 1 - (1 - threshold**SHORT) ** trees)
 
 
 def _size(df: DataFrame, count: str) -> tuple[int, int]:
@@ -162,13 +156,13 @@ def _size(df: DataFrame, count: str) -> tuple[int, int]:
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """pairs(a, b, depth) that reach the threshold, with similarity; only texts of their ids are moved."""
+    """pairs(a, b) that reach the threshold, with similarity; only texts of their ids are moved."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     n = ids.count()
     texts = rows.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "id", "left_semi")
     left = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
-    both = left.join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b").select("a", "b", "depth", "ta", "tb")
-    return both.mapInArrow(_verify_batches(shingle, threshold), "a bigint, b bigint, depth int, similarity double")
+    both = left.join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
+    return both.mapInArrow(_verify_batches(shingle, threshold), "a bigint, b bigint, similarity double")
 
 
 def record_pairs(links: Links, shingle: int) -> DataFrame:

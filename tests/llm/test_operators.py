@@ -159,6 +159,23 @@ def test_near_duplicates_equal_brute_force(spark, share, k):
     assert {i: g for i, g in got.items() if i < 300} == {i: root(i) for i in got if i < 300} and got[302] == got[303] == 302
 
 
+def test_close_copies_do_not_hide_borderline_pairs(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(200):  # pairs of similarity 61/119 to 63/117
+        w = [f"p{i}w{j}" for j in range(92)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: 63 + i % 3] + [f"q{i}w{j}" for j in range(29 - i % 3)]))]
+    base = [f"c{j}" for j in range(150)]
+    for i in range(120):  # close copies, 7,140 pairs
+        w = list(base)
+        w[rng.randrange(150)] = f"d{i}"
+        rows.append((1000 + i, " ".join(w)))
+    links = near_duplicates.link(spark.createDataFrame(rows, "id bigint, text string"), "id", F.col("text"), 0.5, 3)
+    got, want = pairs(near_duplicates.record_pairs(links, 3)), jaccard_model(rows, 3, 0.5)
+    border = {(a, b) for a, b in want if a < 1000}
+    assert len(border) == 200 and got <= want and len(got & border) >= 197 and {p for p in want if p[0] >= 1000} <= got
+
+
 def test_classes_by_shuffle_equal_classes_by_broadcast(spark, monkeypatch):
     import gleanwell.operators.skew as skew
 
