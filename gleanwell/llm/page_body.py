@@ -1,7 +1,7 @@
 """The article of a page without its furniture: tree scoring over a page of text lines.
 
 A page of plain lines has no element tree, so one is read from its lines: the page holds containers, a container holds lines.
-A line that no page could own by itself (its letters come back on many pages), a bar of short entries, a breadcrumb or a labelled
+A line that no page could own by itself (its letters come back in many articles), a bar of short entries, a breadcrumb or a labelled
 pointer has a link density of 1; a headline-like line is open and has some; sentences and credits have 0. A heading of link density 1 opens a
 container for the open lines behind it, and so do open lines that follow each other; paragraphs with the open line before them form
 the others. A paragraph gives points for its length and its commas to its container and half of them to the page, less its link
@@ -23,8 +23,8 @@ from ..operators.skew import join_counted
 from ..runtime import materialise
 from .sites import line_keys, site_of
 
-#: Pages that share a line, site names aside, before it counts as nobody's own: short lines, and lines of LONG_WORDS words and more,
-#: which pages may share as copies of one article.
+#: Articles that share a line, site names aside, before it counts as nobody's own: short lines, and lines of LONG_WORDS words and more.
+#: Copies and refetches of one article are one article.
 SHORT_PAGES, LONG_PAGES, LONG_WORDS = 6, 15, 7
 
 #: Link density of an open line: headlines may be links, subheadings are not.
@@ -80,7 +80,7 @@ def _is_credit(words: list[str], line: str, author: str) -> bool:
 
 
 def judge(line: str, shared: bool, author: str) -> Line:
-    """The kind of one line that is not blank; shared: many pages have it."""
+    """The kind of one line that is not blank; shared: many articles have it."""
     bare = _EDGE.sub("", line)
     words = [w.lower() for w in _WORD.findall(bare)]
     low = bare.lower()
@@ -170,33 +170,47 @@ def _furniture_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _shared_places(corpus: DataFrame) -> DataFrame:
-    """(corpus_id, shared): per page the places, from 0, of the lines that many pages have."""
+    """(corpus_id, shared): per page the places, from 0, of the lines that many articles have.
+
+    A line's articles are the distinct titles of its pages, or the distinct longest lines beside it if these are fewer, so neither a
+    new title nor an edit makes a copy an article of its own. A page without a title has that longest line for one.
+    """
     letters = F.regexp_replace(F.lower(F.coalesce("source", F.lit(""))), r"[^\p{L}]+", "")
     site = site_of(F.col("url"), F.col("source"))
     sizes = corpus.groupBy(site.alias("site"), letters.alias("name")).agg(F.count(F.lit(1)).alias("n"))
     usual = F.max_by("name", F.struct(F.col("name") != "", "n", "name"))
     names = materialise(sizes.groupBy("site").agg(usual.alias("name"), F.sum("n").alias("n")), "names")
     rows, total = names.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    pages = corpus.select("corpus_id", site.alias("site"), "body").filter(F.col("body").isNotNull())
-    pages = join_counted(pages, names, ["site"], "n", rows, total).select("corpus_id", "name", line_keys(F.col("body")).alias("keys"), F.split(F.col("body"), "\n", -1).alias("lines"))
+    title = F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"[^\p{L}]+", "")
+    pages = corpus.select("corpus_id", site.alias("site"), "body", title.alias("title")).filter(F.col("body").isNotNull())
+    pages = join_counted(pages, names, ["site"], "n", rows, total).select("corpus_id", "name", "title", line_keys(F.col("body")).alias("keys"), F.split(F.col("body"), "\n", -1).alias("lines"))
     # the page's own site name says nothing about a line
     masked = F.when(F.length("name") > 3, F.transform("keys", lambda k: F.replace(k, F.col("name"), F.lit("")))).otherwise(F.col("keys"))
-    pages = pages.select("corpus_id", masked.alias("keys"), "lines")
+    pages = pages.select("corpus_id", "title", masked.alias("keys"), "lines")
     counts = pages.select(F.explode(F.array_distinct("keys")).alias("key")).filter(F.col("key") != "").groupBy(F.xxhash64("key").alias("h"), F.hash("key").alias("g")).agg(F.count(F.lit(1)).alias("pages"))
     often = materialise(counts.filter(F.col("pages") >= SHORT_PAGES), "lines")
     rows, total = often.agg(F.count(F.lit(1)), F.coalesce(F.sum("pages"), F.lit(0))).first()
-    places = pages.select("corpus_id", F.posexplode(F.arrays_zip("keys", "lines")).alias("pos", "x")).filter(F.col("x.keys") != "")
-    sized = places.select("corpus_id", "pos", F.xxhash64("x.keys").alias("h"), F.hash("x.keys").alias("g"), (F.regexp_count("x.lines", F.lit(r"\S+")) >= LONG_WORDS).alias("long"))
-    found = join_counted(sized, often, ["h", "g"], "pages", rows, total).filter(~F.col("long") | (F.col("pages") >= LONG_PAGES))
+    longest = F.slice(F.reverse(F.array_sort(F.transform(F.array_distinct("keys"), lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))), 1, 2)
+    tops = F.transform(longest, lambda x: F.xxhash64(x["k"]))
+    titled = pages.select("corpus_id", F.when(F.col("title") != "", F.xxhash64("title")).alias("title"), tops.alias("tops"), "keys", "lines")
+    places = titled.select("corpus_id", "title", "tops", F.posexplode(F.arrays_zip("keys", "lines")).alias("pos", "x")).filter(F.col("x.keys") != "")
+    sized = places.select("corpus_id", "title", "tops", "pos", F.xxhash64("x.keys").alias("h"), F.hash("x.keys").alias("g"), (F.regexp_count("x.lines", F.lit(r"\S+")) >= LONG_WORDS).alias("long"))
+    found = join_counted(sized, often, ["h", "g"], "pages", rows, total)
+    beside = F.when(F.get("tops", F.lit(0)) != F.col("h"), F.get("tops", F.lit(0))).otherwise(F.coalesce(F.get("tops", F.lit(1)), "title", "h"))
+    found = materialise(found.select("corpus_id", "pos", "h", "g", "long", F.coalesce("title", beside).alias("title"), beside.alias("beside")), "places")
+    articles = found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("rows"), F.least(F.count_distinct("title"), F.count_distinct("beside")).alias("articles"))
+    own = materialise(articles.filter(F.col("articles") >= SHORT_PAGES), "shared")
+    rows, total = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    found = join_counted(found, own, ["h", "g"], "rows", rows, total).filter(~F.col("long") | (F.col("articles") >= LONG_PAGES))
     return found.groupBy("corpus_id").agg(F.collect_list("pos").alias("shared"))
 
 
 def furniture(corpus: DataFrame) -> DataFrame:
     """(corpus_id, line_no): the lines of body, numbered from 1, blank ones counted but never given, that are not the article.
 
-    Reads corpus_id (unique), url, source, author and body. A null or empty body gives no rows; a page without any paragraph is furniture
+    Reads corpus_id (unique), url, source, author, title and body. A null or empty body gives no rows; a page without any paragraph is furniture
     but for its credits. Null sources and authors are empty. Bodies are taken whole, whatever their length. Repeated rows are
-    pages of their own. A line counts as shared by its letters alone, over all pages of the corpus.
+    pages of their own. A line counts as shared by its letters alone, over all articles of the corpus; copies of an article are one.
     """
     pages = corpus.select("corpus_id", "body", "author").filter(F.col("body").isNotNull())
     marked = pages.join(_shared_places(corpus), "corpus_id", "left").select("corpus_id", "body", "author", "shared")

@@ -231,6 +231,22 @@ def test_article_of_a_page(spark):
     assert page_body.furniture(corpus(spark, [])).count() == 0
 
 
+def test_copies_of_an_article_keep_their_paragraphs(spark):
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    page = lambda i: PAGE.replace("Oslo", f"Os{letters(i)}lo").replace("Acme", f"Ac{letters(i)}me").replace("mill", f"mill{letters(i)}")
+    rows = [(i, f"https://n.example/{i}", None, None, None if i % 2 else f"Title {letters(i)}", page(i), "x", "y") for i in range(20)]
+    # 50 copies on 50 sites with one title, 50 with titles of their own, 50 with edits, and 50 without titles
+    rows += [(100 + i, f"https://s{i}.example/c", None, None, "One copy", page(100), "x", "y") for i in range(50)]
+    rows += [(200 + i, f"https://s{i}.example/d", None, None, f"Copy {letters(i)}", page(200), "x", "y") for i in range(50)]
+    rows += [(300 + i, f"https://s{i}.example/e", None, None, "Other copy", page(300).replace("more than", f"{letters(i)} more than"), "x", "y") for i in range(50)]
+    rows += [(400 + i, f"https://s{i}.example/f", None, None, None, page(400), "x", "y") for i in range(50)]
+    got = defaultdict(set)
+    for i, n in pairs(page_body.furniture(spark.createDataFrame(rows, CORPUS))):
+        got[i].add(n)
+    for r in rows:
+        assert got[r[0]] == {1, 6, 9, 12, 13, 14, 15, 16}, (r[0], got[r[0]])
+
+
 # --- 5
 
 
