@@ -2,9 +2,10 @@
 
 Lines become identifiers of (site, letters); a page becomes the sequence of its identifiers. Single lines with enough support are
 the first frequent patterns. Each round appends to every occurrence of a frequent pattern the line that follows it among the page's
-frequent lines (the head of its projected postfix), counts the pages of each longer pattern and goes on with the frequent ones. A
-pattern's support is its number of pages, so every prefix of a frequent pattern is frequent too. Occurrences are rows of Spark
-tables all the way; only counts and numbers of patterns reach the driver.
+frequent lines (the head of its projected postfix), counts the pages of each longer pattern and goes on with the frequent ones until
+none is left. A pattern's support is its number of pages, so every prefix of a frequent pattern is frequent too, and so is what
+remains without its first line: the next line is read from the occurrence of the same round that starts one line later, and without
+one there is nothing to grow. Occurrences are rows of a fixed size; only counts and numbers of patterns reach the driver.
 """
 
 from __future__ import annotations
@@ -13,28 +14,29 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.skew import join_counted
 from ..runtime import broadcast_if_small, materialise
 from .sites import line_keys, site_of
 
 MIN_DOCS = 10
-MAX_LENGTH = 6
 
 
 class Mined(NamedTuple):
-    """patterns: (pattern, length, docs); occurrences: (corpus_id, pattern, length, places), one row each, places being line numbers."""
+    """patterns: (pattern, length, docs); occurrences: (corpus_id, pattern, length, first, last), one row each, first and last being line numbers."""
 
     patterns: DataFrame
     occurrences: DataFrame
 
 
-def mine(corpus: DataFrame, line_docs: int = MIN_DOCS, sequence_docs: int = MIN_DOCS, max_length: int = MAX_LENGTH) -> Mined:
+def mine(corpus: DataFrame, line_docs: int = MIN_DOCS, sequence_docs: int = MIN_DOCS) -> Mined:
     """Frequent line sequences of every site of corpus(corpus_id, url, source, body) and all their occurrences.
 
     line_docs, sequence_docs: pages of a site that must hold a single line, or a sequence of two lines and more, at least.
     Null and empty bodies hold no lines, lines without letters count nowhere, a line twice in a page counts once for its support.
     A null url falls back on source. Repeated rows are pages of their own. Other columns are not read. Empty input: no patterns.
+    Sequences have any length; there are as many rounds as the longest frequent one has lines.
     """
     least = min(line_docs, sequence_docs)
     pages = corpus.select("corpus_id", site_of(F.col("url"), F.col("source")).alias("site"), line_keys(F.col("body")).alias("keys")).filter(F.col("keys").isNotNull())
@@ -47,19 +49,16 @@ def mine(corpus: DataFrame, line_docs: int = MIN_DOCS, sequence_docs: int = MIN_
     singles, total = single.agg(F.count(F.lit(1)), F.coalesce(F.sum("docs"), F.lit(0))).first()
     lines = hashed(pages.select("corpus_id", "site", F.posexplode("keys").alias("pos", "key")), "corpus_id", F.col("pos").cast("int"))
     found = join_counted(lines, single, ["pattern", "check"], "docs", singles, total).select("corpus_id", "pos", "pattern")
-    pages = found.groupBy("corpus_id").agg(F.array_sort(F.collect_list(F.struct("pos", "pattern"))).alias("items"))
-
     patterns = [single.select("pattern", F.lit(1).alias("length"), "docs")]
-    first = pages.select("corpus_id", "items", F.explode(F.sequence(F.lit(1), F.size("items"))).alias("i"))
-    level = materialise(first.select("corpus_id", F.element_at("items", F.col("i")).alias("at"), F.expr("slice(items, i + 1, size(items))").alias("rest")).select("corpus_id", F.col("at.pattern").alias("pattern"), F.array(F.col("at.pos") + 1).alias("places"), "rest"), "occurrences")
-    occurrences = [level.select("corpus_id", "pattern", F.lit(1).alias("length"), "places")]
-    for length in range(2, max_length + 1):
-        longer = level.filter(F.size("rest") > 0).select(
-            "corpus_id",
-            F.xxhash64("pattern", F.col("rest")[0]["pattern"], F.lit(length)).alias("pattern"),
-            F.array_append("places", F.col("rest")[0]["pos"] + 1).alias("places"),
-            F.expr("slice(rest, 2, size(rest))").alias("rest"),
-        )
+    page = Window.partitionBy("corpus_id").orderBy("at")
+    numbered = found.withColumn("at", F.row_number().over(Window.partitionBy("corpus_id").orderBy("pos", "pattern")))
+    level = materialise(numbered.select("corpus_id", "at", "pattern", F.col("pattern").alias("line"), (F.col("pos") + 1).alias("first"), (F.col("pos") + 1).alias("last")), "occurrences")
+    occurrences, length = [level.select("corpus_id", "pattern", F.lit(1).alias("length"), "first", "last")], 1
+    while True:
+        length += 1
+        after = F.lead(F.struct("at", "line", "last")).over(page)
+        longer = level.withColumn("after", after).filter(F.col("after.at") == F.col("at") + 1)
+        longer = longer.select("corpus_id", "at", F.xxhash64("pattern", "after.line", F.lit(length)).alias("pattern"), "after.line", "first", "after.last")
         support = longer.select("pattern", "corpus_id").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("docs"))
         frequent = materialise(support.filter(F.col("docs") >= sequence_docs), "sequences")
         rows, total = frequent.agg(F.count(F.lit(1)), F.coalesce(F.sum("docs"), F.lit(0))).first()
@@ -67,7 +66,7 @@ def mine(corpus: DataFrame, line_docs: int = MIN_DOCS, sequence_docs: int = MIN_
             break
         patterns.append(frequent.select("pattern", F.lit(length).alias("length"), "docs"))
         level = materialise(join_counted(longer, frequent, ["pattern"], "docs", rows, total).drop("docs"), "occurrences")
-        occurrences.append(level.select("corpus_id", "pattern", F.lit(length).alias("length"), "places"))
+        occurrences.append(level.select("corpus_id", "pattern", F.lit(length).alias("length"), "first", "last"))
 
     def union(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]
@@ -84,8 +83,12 @@ def mine(corpus: DataFrame, line_docs: int = MIN_DOCS, sequence_docs: int = MIN_
 
 
 def repeated_places(mined: Mined) -> DataFrame:
-    """(corpus_id, line_no): every line, numbered from 1, that an occurrence of a frequent sequence covers; no row twice."""
-    return mined.occurrences.select("corpus_id", F.explode("places").alias("line_no")).select("corpus_id", F.col("line_no").cast("bigint")).distinct()
+    """(corpus_id, line_no): every line, numbered from 1, that an occurrence of a frequent sequence covers; no row twice.
+
+    Two lines that follow each other in a frequent sequence are a frequent sequence, so the ends of those of two lines cover all longer ones.
+    """
+    ends = mined.occurrences.filter("length <= 2").select("corpus_id", F.explode(F.array("first", "last")).alias("line_no"))
+    return ends.select("corpus_id", F.col("line_no").cast("bigint")).distinct()
 
 
 def without_repeated_lines(corpus: DataFrame, mined: Mined) -> DataFrame:

@@ -97,6 +97,15 @@ def test_sequences_need_less_support_than_lines(spark):
     assert pairs(repeated_lines.repeated_places(mined)) == {(i, n) for i in range(4) for n in (1, 2)}
 
 
+def test_sequences_of_any_length(spark):
+    line = lambda n: f"line {'abcdefghijkl'[n]}"
+    rows = [(i, "https://s.example/x", "\n".join(["own " + "xyzuvw"[i]] + [line(n) for n in range(12)][: 12 - 3 * (i > 3)])) for i in range(6)]
+    got = {}
+    for r in repeated_lines.mine(corpus(spark, rows), 4, 4).patterns.collect():
+        got.setdefault(r["length"], []).append(r["docs"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(6 if n + k <= 9 else 4 for n in range(13 - k)) for k in range(1, 13)}
+
+
 def test_no_lines_at_all(spark):
     empty = corpus(spark, [])
     assert repeated_lines.repeated_places(repeated_lines.mine(empty)).count() == 0
