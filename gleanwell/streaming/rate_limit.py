@@ -2,15 +2,18 @@
 
 An event is let through if fewer than limit events of its client were let through in the window before it; a refused event
 does not count. What is let through depends only on events since the last silence of a window or more, so a table is cut into such
-stretches first and each is settled for itself; a stream keeps the times it let through, limit of them at most, as its state.
+stretches first, whose sorted rows pass through Python one by one; a table and a stream alike keep only the times that were let
+through, limit of them at most, as their state, so a stretch of any length takes constant memory.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
@@ -36,28 +39,40 @@ def _stretches(rows: DataFrame, client: str, key: str, gap: int) -> DataFrame:
     return flagged.withColumn("__own", own).join(carried, slot).withColumn("__stretch", F.coalesce("__own", "__carried"))
 
 
+def _settle_batches(limit: int, gap: int):
+    """Adds allowed to batches of (client, time, key, us, stretch), sorted by client, stretch and us."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, recent = None, deque()
+        for batch in batches:
+            allowed = []
+            for client, stretch, us in zip(*(batch.column(i).to_pylist() for i in (0, 4, 3))):
+                if (client, stretch) != now:
+                    now, recent = (client, stretch), deque()
+                # a hit exactly one window old still counts
+                while recent and us - recent[0] > gap:
+                    recent.popleft()
+                allowed.append(len(recent) < limit)
+                if allowed[-1]:
+                    recent.append(us)
+            columns = [*batch.columns[:3], pa.array(allowed, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:3], "allowed"])
+
+    return run
+
+
 def limited(events: DataFrame, client: str, time: str, key: str, limit: int = LIMIT, seconds: float = SECONDS) -> DataFrame:
     """events(client, time, key) with allowed. Ties of time go by key; rows with a null client or time are dropped.
 
     A client's rows are spread over slots of time; only a stretch without a silence, whose events depend on each other one by one,
-    is settled in one task.
+    is settled in one task, which sorts its rows (on disk if need be) and reads them once.
     """
     rows = events.filter(F.col(client).isNotNull() & F.col(time).isNotNull()).select(client, key, time, F.unix_micros(F.col(time).cast("timestamp")).alias("__us"))
     gap = int(seconds * 1_000_000)
     stretch = _stretches(rows, client, key, gap)
-    grouped = stretch.groupBy(client, "__stretch").agg(F.array_sort(F.collect_list(F.struct("__us", key, time))).alias("es"))
-    kind = f"array<struct<us:bigint,key:{dict(events.dtypes)[key]},time:{dict(events.dtypes)[time]},allowed:boolean>>"
-    start = F.struct(F.array().cast("array<bigint>").alias("recent"), F.array().cast(kind).alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        # a hit exactly one window old still counts
-        recent = F.filter(s["recent"], lambda t: e["__us"] - t <= gap)
-        ok = F.size(recent) < limit
-        row = F.struct(e["__us"].alias("us"), e[key].alias("key"), e[time].alias("time"), ok.alias("allowed"))
-        return F.struct(F.when(ok, F.array_append(recent, e["__us"])).otherwise(recent).alias("recent"), F.array_append(s["out"], row).alias("out"))
-
-    settled = grouped.select(client, F.explode(F.aggregate("es", start, step, lambda s: s["out"])).alias("r"))
-    return settled.select(client, F.col("r.time").alias(time), F.col("r.key").alias(key), F.col("r.allowed").alias("allowed"))
+    stretch = stretch.select(client, time, key, "__us", "__stretch").repartition(client, "__stretch").sortWithinPartitions(client, "__stretch", "__us", key)
+    kinds = dict(events.dtypes)
+    return stretch.mapInArrow(_settle_batches(limit, gap), f"`{client}` {kinds[client]}, `{time}` {kinds[time]}, `{key}` {kinds[key]}, allowed boolean")
 
 
 def _settle(limit: int, seconds: float):

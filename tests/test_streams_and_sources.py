@@ -33,6 +33,18 @@ def test_limits_a_table_like_a_loop(spark, events):
     assert got == model(events, 3, 30) and not all(got.values())
 
 
+def test_a_stretch_is_never_gathered(spark, events):
+    df = spark.createDataFrame(events, "client bigint, ts timestamp, id bigint")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = rate_limit.limited(df, "client", "ts", "id", 3, 30)
+        got = {r["id"]: r["allowed"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == model(events, 3, 30) and out.columns == ["client", "ts", "id", "allowed"]
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
 def test_limits_a_stream_like_a_loop(spark, events, tmp_path):
     schema = "client bigint, ts timestamp, id bigint"
     for i, part in enumerate((events[:200], events[200:])):
