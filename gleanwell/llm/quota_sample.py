@@ -43,30 +43,41 @@ def draw(records: DataFrame, plans: DataFrame, targets: DataFrame, seed: int = 4
     the lowest ranks are taken. A share of 0 gives no seat beyond the minimum. Empty tables give an empty sample; names of further
     columns don't matter. The same seed draws the same sample whatever the partitioning.
     """
+    return _seated(_ranked(records, plans, targets, seed))
+
+
+def _ranked(records: DataFrame, plans: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """The candidates of every cell with rank, floor and priority: all ranks that the plan could seat."""
     cells = materialise(_cells(plans, targets), "cells")
     rows = population(records).join(broadcast_if_small(cells, cells.count()), ["type_key", "hop_count"])
     rows = rows.withColumn("random", F.xxhash64(F.lit(seed), "plan_id", "type_key", "hop_count", "qa_id"))
     ranked = spread_rank(rows, ["plan_id", "type_key", "hop_count"], [F.col("random"), F.col("qa_id")], F.shiftright("random", 54), "rank")
     ranked = ranked.filter(F.col("rank") <= F.greatest("sample_size", "min_rows"))
     ranked = ranked.withColumn("floor", F.col("rank") <= F.col("min_rows")).withColumn("priority", F.when(F.col("share") > 0, (F.col("rank") - 0.5) / F.col("share")))
-    ranked = ranked.filter(F.col("floor") | F.col("priority").isNotNull())
+    return materialise(ranked.filter(F.col("floor") | F.col("priority").isNotNull()), "ranked")
+
+
+def _seated(ranked: DataFrame) -> DataFrame:
     # floors by rank, then priorities by their logarithm, 256 buckets for a doubling
     step = lambda x: F.floor(F.log2(x) * 256)
     bucket = F.when(F.col("floor"), step(F.col("rank"))).otherwise(step(F.col("priority")) + F.lit(1 << 20)).cast("bigint")
     order = [F.when(F.col("floor"), F.col("rank").cast("double")).otherwise(F.col("priority")), F.col("type_key"), F.col("hop_count"), F.col("rank")]
-    seats = spread_rank(materialise(ranked, "ranked"), ["plan_id"], order, bucket, "seat").filter(F.col("seat") <= F.col("sample_size"))
+    seats = spread_rank(ranked, ["plan_id"], order, bucket, "seat").filter(F.col("seat") <= F.col("sample_size"))
     return seats.select("plan_id", "question_type", "hop_count", "qa_id", F.col("rank").cast("bigint"), "priority", "floor")
 
 
 def report(records: DataFrame, plans: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
     """(plan_id, question_type, hop_count, needed, available, drawn, short): one row per cell of every plan.
 
-    needed is the larger of min_rows and the cell's share of the sample size, short how many questions it lacks of that.
+    needed is the larger of min_rows and the cell's share of the sample size, short how many questions it lacks of that:
+    the ranks it asks for beyond its last one. available counts the cell's questions on their own.
     """
     sizes = population(records).groupBy("type_key", "hop_count").agg(F.count(F.lit(1)).alias("available"))
-    drawn = draw(records, plans, targets, seed).groupBy("plan_id", type_key(F.col("question_type")).alias("type_key"), "hop_count").agg(F.count(F.lit(1)).alias("drawn"))
-    out = _cells(plans, targets).join(sizes, ["type_key", "hop_count"], "left").join(drawn, ["plan_id", "type_key", "hop_count"], "left")
+    ranked = _ranked(records, plans, targets, seed)
+    last = ranked.groupBy("plan_id", "type_key", "hop_count").agg(F.max("rank").cast("bigint").alias("last"))
+    drawn = _seated(ranked).groupBy("plan_id", type_key(F.col("question_type")).alias("type_key"), "hop_count").agg(F.count(F.lit(1)).alias("drawn"))
+    out = _cells(plans, targets).join(sizes, ["type_key", "hop_count"], "left").join(drawn, ["plan_id", "type_key", "hop_count"], "left").join(last, ["plan_id", "type_key", "hop_count"], "left")
     needed = F.greatest(F.col("min_rows").cast("bigint"), F.ceil(F.round(F.col("share") * F.col("sample_size"), 6)))
     out = out.withColumn("needed", needed).withColumn("available", F.coalesce("available", F.lit(0)))
-    short = F.greatest(F.col("needed") - F.col("available"), F.lit(0))
+    short = F.greatest(F.col("needed") - F.coalesce("last", F.lit(0)), F.lit(0))
     return out.select("plan_id", "question_type", "hop_count", "needed", "available", F.coalesce("drawn", F.lit(0)).alias("drawn"), short.alias("short"))
