@@ -1,39 +1,44 @@
 """The article of a page without its furniture: tree scoring over a page of text lines.
 
-A page of plain lines has no element tree, so one is read from its lines: the page holds containers, a container holds lines.
-A line that no page could own by itself (its letters come back in many articles), a bar of short entries, a breadcrumb or a labelled
-pointer has a link density of 1; a headline-like line is open and has some; sentences and credits have 0. A heading of link density 1 opens a
-container for the open lines behind it, and so do open lines that follow each other; paragraphs with the open line before them form
-the others. A paragraph gives points for its length and its commas to its container and half of them to the page, less its link
-density. The container with most points, its siblings with a fair share of its points or with text of low link density, and the
-credits beside them are the article; the rest of the page is furniture.
+A page of plain lines has neither elements nor links, so both are estimated. The link density of a line, the share of it that would be
+link text, comes from the corpus: from the share of its site's articles, and of all articles, that hold the same letters (a line that
+many articles have belongs to the page around them), and from its label, if it has one, in the same way ("Read more: ..."); a bar of short
+entries and an arrow are links by their form, and an unfinished line, a headline or a subheading, may be one.
+
+The tree: the page holds containers, a container holds lines. Lines that are mostly links, whether sentences or not, stand in containers
+of their own, headings of lists gather the unfinished lines behind them, and sentences with their subheadings form text containers,
+which a single link line does not cut, but a list or two link lines in a row do. Every sentence passes points for its length and
+its commas, less its link density, to its container and half of them to the page; a container's score is its points less its link density.
+The best of all containers and the page sets the measure: a container is part of the article if its score comes up to a fair share of
+what a sentence of the best has. Bylines, date lines and photo credits stay with the article.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import join_counted
 from ..runtime import materialise
 from .sites import line_keys, site_of
 
-#: Articles that share a line, site names aside, before it counts as nobody's own: short lines, and lines of LONG_WORDS words and more.
-#: Copies and refetches of one article are one article.
-SHORT_PAGES, LONG_PAGES, LONG_WORDS = 6, 15, 7
-
-#: Link density of an open line: headlines may be links, subheadings are not.
+#: Shares of a site's articles and of all articles from which a line counts as link text throughout; lower shares count in proportion.
+SITE_SHARE, ALL_SHARE = 0.02, 0.005
+#: Articles that a line must be in before its share says anything, and articles that every site is thought to have besides.
+LEAST_ARTICLES, PRIOR_ARTICLES = 3, 10
+#: Link density of an unfinished line: headlines may be links, subheadings are not.
 OPEN_DENSITY = 0.3
+#: Density from which a line is no part of a text container.
+LINK = 0.5
 #: Words from which a line without a full stop is prose rather than a headline.
 LONG_LINE = 18
+#: Share of the points of the best container's lines, on average, that a container needs.
+FAIR = 0.15
 
-# Labels before a colon, or first words, of pointers to other pages and of lists of subjects.
-POINTERS = ("read more", "read also", "read next", "related", "see also", "more on this", "more", "also", "tags", "topics", "filed under", "in this story", "watch", "listen")
 # How credits and date lines of an article begin.
 CREDITS = ("by", "written by", "words", "photo", "photos", "photograph", "picture", "image", "reporting by", "text")
 # Words a date line may hold beside numbers and months.
@@ -47,16 +52,11 @@ _EDGE = re.compile(r"^[\s\[\]*•>\-–|·]+|[\s\[\]|·]+$")
 _SENTENCE = re.compile(r"[.!?…][\"”’')\]]*$|[\"”]$")
 _BARS = re.compile(r"\s+[/|·\-–>»]\s+|\s*[|·»]\s*|\s{2,}|\t")
 _INNER = re.compile(r"[a-z][.!?][\"”’')]*\s+[\"“‘'(]*[A-ZÀ-Þ]")
+_PATH = re.compile(r"\s[>»/]\s")
 _YEAR = re.compile(r"\b(?:19|20)\d\d\b")
-
-
-class Line(NamedTuple):
-    """kind: link, open, text or credit; points: what it passes on; chars: its length."""
-
-    kind: str
-    points: float
-    chars: int
-    heading: bool
+_NUMBERED = re.compile(r"\s*\d+[.)]\s")
+#: What stands before the first colon of a line, if that is short.
+_LABEL = r"^[^\p{L}]*(\p{L}[^:]{1,24}):\s"
 
 
 def _is_date(words: list[str], line: str) -> bool:
@@ -79,130 +79,161 @@ def _is_credit(words: list[str], line: str, author: str) -> bool:
     return False
 
 
-def judge(line: str, shared: bool, author: str) -> Line:
-    """The kind of one line that is not blank; shared: many articles have it."""
-    bare = _EDGE.sub("", line)
-    words = [w.lower() for w in _WORD.findall(bare)]
-    low = bare.lower()
-    if _is_date(words, bare) or _is_credit(words, bare, author):
-        return Line("credit", 0.0, len(bare), False)
-    if shared or not words:
-        return Line("link", 0.0, len(bare), len(words) <= 6)
-    label = low.split(":", 1)[0].strip() if ":" in low else ""
-    if line.lstrip(" [*•").startswith((">>", "»")) or label in POINTERS:
-        return Line("link", 0.0, len(bare), False)
-    parts = [p for p in _BARS.split(bare.strip()) if p]
-    if len(parts) >= 3 and (parts[0].lower() in ("home", "home page", "start") or sum(len(_WORD.findall(p)) for p in parts) <= 3 * len(parts)) and not _SENTENCE.search(bare):
-        return Line("link", 0.0, len(bare), False)
-    prose = _SENTENCE.search(bare) or len(words) >= LONG_LINE or _INNER.search(bare)
-    if not prose or len(words) < 3:
-        return Line("open", 0.0, len(bare), False)
-    return Line("text", 1 + bare.count(",") + min(len(bare) / 100, 3.0), len(bare), False)
-
-
-def article_lines(lines: list[str], shared: set[int], author: str | None) -> set[int]:
-    """Places, from 0, of the lines that are the article; blank lines are none."""
-    by = " ".join(w.lower() for w in _WORD.findall(author or ""))
-    full = [i for i, x in enumerate(lines) if x.strip()]
-    kinds = {i: judge(lines[i], i in shared, by) for i in full}
-    containers: list[list[int]] = []
-    lone_heads: set[int] = set()
-    for k, i in enumerate(full):
-        kind = kinds[i].kind
-        before = kinds[full[k - 1]] if k else None
-        after = next((kinds[j].kind for j in full[k + 1 :] if kinds[j].kind != "link"), "")
-        if kind == "open":
-            beside = before is not None and before.kind == "open" or k + 1 < len(full) and kinds[full[k + 1]].kind == "open"
-            lone = not beside and after == "text" and not re.match(r"\s*\d+[.)]\s", lines[i])
-            listed = not lone and before is not None and (before.kind == "open" or before.kind == "link" and before.heading)
-            joins = containers and (listed or (lone and before is not None and before.kind == "text"))
-            # an open line in front of a paragraph heads it; others gather with their heading or each other
-            if lone and not joins:
-                lone_heads.add(i)
-                containers.append([i])
-            elif joins:
-                containers[-1].append(i)
-            else:
-                containers.append([i])
-        elif kind == "text":
-            if before is not None and (before.kind in ("text", "credit") or before.kind == "open" and len(containers[-1]) and _heads(containers[-1], kinds)):
-                containers[-1].append(i)
-            else:
-                containers.append([i])
-        elif kind == "credit":
-            if before is not None and before.kind in ("text", "credit"):
-                containers[-1].append(i)
-            else:
-                containers.append([i])
+class Line:
+    """One line that is not blank: kind by its form (open, text or credit), link density, points, and whether it can head a list."""
+
+    __slots__ = ("chars", "density", "heads", "kind", "numbered", "points")
+
+    def __init__(self, line: str, density: float, author: str):
+        bare = _EDGE.sub("", line)
+        words = [w.lower() for w in _WORD.findall(bare)]
+        self.chars, self.heads, self.numbered = len(bare), len(words) <= 6, bool(_NUMBERED.match(line))
+        self.density, self.points = density, 0.0
+        finished = _SENTENCE.search(bare)
+        if _is_date(words, bare) or _is_credit(words, bare, author):
+            self.kind, self.density = "credit", 0.0
+        elif len(words) >= 3 and (finished or len(words) >= LONG_LINE or _INNER.search(bare)):
+            self.kind, self.points = "text", 1 + bare.count(",") + min(len(bare) / 100, 3.0)
         else:
-            containers.append([i])
-    points = [sum(kinds[i].points for i in c) for c in containers]
-    weight = {"link": 1.0, "open": OPEN_DENSITY}
-    density = [sum(weight.get(kinds[i].kind, 0.0) * kinds[i].chars for i in c) / max(1, sum(kinds[i].chars for i in c)) for c in containers]
-    scores = [p * (1 - d) for p, d in zip(points, density)]
-    best = max(scores, default=0.0)
-    page = sum(points) / 2
-    out: set[int] = set()
-    for c, p, d, s in zip(containers, points, density, scores):
-        only_credits = all(kinds[i].kind == "credit" for i in c)
-        # a subheading cut off from its paragraph by an advert is a sibling without points
-        cut_off = len(c) == 1 and c[0] in lone_heads
-        if s > 0 and (s >= 0.2 * best or p >= min(1.0, page) and d < 0.5) or only_credits or cut_off:
-            out.update(c)
+            self.kind, self.density = "open", max(self.density, OPEN_DENSITY)
+        parts = [p for p in _BARS.split(bare.strip()) if p]
+        path = len(parts) >= 3 and len(_PATH.findall(bare)) >= 2 and len(_WORD.findall(parts[0])) <= 2
+        bar = len(parts) >= 3 and sum(len(_WORD.findall(p)) for p in parts) <= 3 * len(parts)
+        if self.kind != "credit" and (not words or line.lstrip(" [*•").startswith((">>", "»")) or (path or bar) and not finished):
+            self.density = 1.0
+
+    @property
+    def link(self) -> bool:
+        """Whether it is mostly a link and so no part of a text container."""
+        return self.density >= LINK
+
+
+def score(lines: list[Line]) -> float:
+    """What lines pass on to a node above them: their points less their own link density, less that of the node."""
+    density = sum(x.density * x.chars for x in lines) / max(1, sum(x.chars for x in lines))
+    return sum(x.points * (1 - x.density) for x in lines) * (1 - density)
+
+
+def containers(lines: list[Line]) -> list[list[int]]:
+    """The containers of a page as places among its lines; every line but credits is in one."""
+    out: list[list[int]] = []
+    body = gathering = None  # the text container and the list that still go on
+    links = 0
+    for i, x in enumerate(lines):
+        if x.kind == "credit":
+            gathering = None
+            continue
+        if x.link:
+            links += 1
+            if links > 1 and body and lines[body[-1]].kind == "text":
+                body = None
+            out.append([i])
+            gathering = out[-1] if x.heads else None
+            continue
+        ahead = [y.kind for y in lines[i + 1 :] if not y.link][:1]
+        if x.kind == "open" and (x.numbered or gathering is not None and (len(gathering) > 1 or ahead in ([], ["open"]))):
+            body = None
+            if gathering is None:
+                gathering = []
+                out.append(gathering)
+            gathering.append(i)
+        else:  # a sentence, or a subheading
+            gathering, links = None, 0
+            if body is None:
+                body = []
+                out.append(body)
+            body.append(i)
     return out
 
 
-def _heads(container: list[int], kinds: dict[int, Line]) -> bool:
-    """Whether the container's last line is the only open one behind its paragraphs."""
-    return len(container) == 1 or kinds[container[-2]].kind in ("text", "credit")
+def article_lines(lines: list[str], densities: dict[int, float], author: str | None) -> set[int]:
+    """Places, from 0, of the lines that are the article; blank lines are none. densities: those estimated from the corpus, by place."""
+    by = " ".join(w.lower() for w in _WORD.findall(author or ""))
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    read = [Line(lines[i], densities.get(i, 0.0), by) for i in full]
+    tree = containers(read)
+
+    scores = [score([read[i] for i in c]) for c in tree]
+    nodes = [(s, sum(read[i].kind == "text" for i in c)) for s, c in zip(scores, tree)]
+    nodes.append((score([x for x in read if x.kind != "credit"]) / 2, sum(x.kind == "text" for x in read)))
+    best, texts = max(nodes)
+    fair = FAIR * best / max(1, texts)
+    kept = {full[i] for c, s in zip(tree, scores) if 0 < fair <= s for i in c}
+    return kept | {full[i] for i, x in enumerate(read) if x.kind == "credit"}
 
 
 def _furniture_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, numbers = [], []
-        for key, body, author, shared in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for key, body, author, marked in zip(*(batch.column(i).to_pylist() for i in range(4))):
             lines = body.split("\n")
-            kept = article_lines(lines, set(shared or ()), author)
+            kept = article_lines(lines, {x["pos"]: x["density"] for x in marked or ()}, author)
             out = [i + 1 for i, x in enumerate(lines) if x.strip() and i not in kept]
             ids.extend([key] * len(out))
             numbers.extend(out)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64())], names=["corpus_id", "line_no"])
 
 
-def _shared_places(corpus: DataFrame) -> DataFrame:
-    """(corpus_id, shared): per page the places, from 0, of the lines that many articles have.
+def _densities(corpus: DataFrame) -> DataFrame:
+    """(corpus_id, marked): per page the places, from 0, of the lines and labels that many articles have, with their link density.
 
     A line's articles are the distinct titles of its pages, or the distinct longest lines beside it if these are fewer, so neither a
-    new title nor an edit makes a copy an article of its own. A page without a title has that longest line for one.
+    new title nor an edit makes a copy an article of its own. A page without a title has that longest line for one. Lines are compared
+    by their letters, without the name of the site.
     """
-    letters = F.regexp_replace(F.lower(F.coalesce("source", F.lit(""))), r"[^\p{L}]+", "")
+    letters = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}]+", "")
     site = site_of(F.col("url"), F.col("source"))
-    sizes = corpus.groupBy(site.alias("site"), letters.alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    titled = F.when(letters(F.col("title")) != "", F.xxhash64(letters(F.col("title"))))
+    sizes = corpus.groupBy(site.alias("site"), letters(F.col("source")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
     usual = F.max_by("name", F.struct(F.col("name") != "", "n", "name"))
     names = materialise(sizes.groupBy("site").agg(usual.alias("name"), F.sum("n").alias("n")), "names")
     rows, total = names.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    title = F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"[^\p{L}]+", "")
-    pages = corpus.select("corpus_id", site.alias("site"), "body", title.alias("title")).filter(F.col("body").isNotNull())
-    pages = join_counted(pages, names, ["site"], "n", rows, total).select("corpus_id", "name", "title", line_keys(F.col("body")).alias("keys"), F.split(F.col("body"), "\n", -1).alias("lines"))
+    pages = corpus.select("corpus_id", site.alias("site"), "body", titled.alias("title")).filter(F.col("body").isNotNull())
+    keys = line_keys(F.col("body"))
+    pages = join_counted(pages, names, ["site"], "n", rows, total).select("corpus_id", F.xxhash64("site").alias("site"), "title", "name", keys.alias("keys"), F.split(F.col("body"), "\n", -1).alias("lines"))
     # the page's own site name says nothing about a line
     masked = F.when(F.length("name") > 3, F.transform("keys", lambda k: F.replace(k, F.col("name"), F.lit("")))).otherwise(F.col("keys"))
-    pages = pages.select("corpus_id", "title", masked.alias("keys"), "lines")
-    counts = pages.select(F.explode(F.array_distinct("keys")).alias("key")).filter(F.col("key") != "").groupBy(F.xxhash64("key").alias("h"), F.hash("key").alias("g")).agg(F.count(F.lit(1)).alias("pages"))
-    often = materialise(counts.filter(F.col("pages") >= SHORT_PAGES), "lines")
+    label = lambda x: F.regexp_extract(x, _LABEL, 1)
+    labels = F.transform("lines", lambda x: F.when(label(x) != "", F.concat(F.lit(":"), letters(label(x)))))
+    pages = pages.select("corpus_id", "site", "title", masked.alias("keys"), labels.alias("labels"), F.transform("lines", lambda x: F.when(label(x) != "", 1 - F.length(label(x)) / F.length(x)).otherwise(0.0)).alias("behind"))
+    seen = F.array_distinct(F.concat("keys", F.filter("labels", lambda x: x.isNotNull())))
+    named = lambda c: (F.xxhash64(c).alias("h"), F.hash(c).alias("g"))
+    counts = pages.select(F.explode(seen).alias("key")).filter(F.col("key") != "").groupBy(*named("key")).agg(F.count(F.lit(1)).alias("pages"))
+    often = materialise(counts.filter(F.col("pages") >= LEAST_ARTICLES), "lines")
     rows, total = often.agg(F.count(F.lit(1)), F.coalesce(F.sum("pages"), F.lit(0))).first()
     longest = F.slice(F.reverse(F.array_sort(F.transform(F.array_distinct("keys"), lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))), 1, 2)
-    tops = F.transform(longest, lambda x: F.xxhash64(x["k"]))
-    titled = pages.select("corpus_id", F.when(F.col("title") != "", F.xxhash64("title")).alias("title"), tops.alias("tops"), "keys", "lines")
-    places = titled.select("corpus_id", "title", "tops", F.posexplode(F.arrays_zip("keys", "lines")).alias("pos", "x")).filter(F.col("x.keys") != "")
-    sized = places.select("corpus_id", "title", "tops", "pos", F.xxhash64("x.keys").alias("h"), F.hash("x.keys").alias("g"), (F.regexp_count("x.lines", F.lit(r"\S+")) >= LONG_WORDS).alias("long"))
+    pages = pages.select("corpus_id", "site", "title", F.transform(longest, lambda x: F.xxhash64(x["k"])).alias("tops"), F.arrays_zip("keys", "labels", "behind").alias("x"))
+    places = pages.select("corpus_id", "site", "title", "tops", F.posexplode("x").alias("pos", "x"))
+    either = F.array(F.struct(F.col("x.keys").alias("key"), F.lit(1.0).alias("part")), F.struct(F.col("x.labels").alias("key"), F.col("x.behind").alias("part")))
+    places = places.select("corpus_id", "site", "title", "tops", "pos", F.explode(F.filter(either, lambda e: e["key"] != "")).alias("e"))
+    sized = places.select("corpus_id", "site", "title", "tops", "pos", F.col("e.part").alias("part"), *named("e.key"))
     found = join_counted(sized, often, ["h", "g"], "pages", rows, total)
     beside = F.when(F.get("tops", F.lit(0)) != F.col("h"), F.get("tops", F.lit(0))).otherwise(F.coalesce(F.get("tops", F.lit(1)), "title", "h"))
-    found = materialise(found.select("corpus_id", "pos", "h", "g", "long", F.coalesce("title", beside).alias("title"), beside.alias("beside")), "places")
-    articles = found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("rows"), F.least(F.count_distinct("title"), F.count_distinct("beside")).alias("articles"))
-    own = materialise(articles.filter(F.col("articles") >= SHORT_PAGES), "shared")
-    rows, total = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-    found = join_counted(found, own, ["h", "g"], "rows", rows, total).filter(~F.col("long") | (F.col("articles") >= LONG_PAGES))
-    return found.groupBy("corpus_id").agg(F.collect_list("pos").alias("shared"))
+    found = materialise(found.select("corpus_id", "site", "pos", "part", "h", "g", F.coalesce("title", beside).alias("title"), beside.alias("beside")), "places")
+    articles = F.least(F.count_distinct("title"), F.count_distinct("beside")).alias("articles")
+    of_all = F.coalesce("title", "top")
+    heads = materialise(pages.select("site", "title", F.get("tops", F.lit(0)).alias("top")).select("site", of_all.alias("article")).distinct(), "articles")
+    everything = heads.agg(F.count_distinct("article")).first()[0]
+    per_site = heads.groupBy("site").agg(F.count(F.lit(1)).alias("of"))
+    local = found.groupBy("h", "g", "site").agg(F.count(F.lit(1)).alias("rows"), articles).filter(F.col("articles") >= LEAST_ARTICLES).join(per_site, "site")
+    local = materialise(local.select("h", "g", "site", "rows", _share(F.col("articles"), F.col("of"), SITE_SHARE).alias("density")), "local")
+    wide = found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("rows"), articles).filter(F.col("articles") >= LEAST_ARTICLES)
+    wide = materialise(wide.select("h", "g", "rows", _share(F.col("articles"), F.lit(everything), ALL_SHARE).alias("density")), "wide")
+    marked = None
+    for shares, on in ((local, ["h", "g", "site"]), (wide, ["h", "g"])):
+        rows, total = shares.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+        part = join_counted(found, shares, on, "rows", rows, total).select("corpus_id", "pos", (F.col("density") * F.col("part")).alias("density"))
+        marked = part if marked is None else marked.unionByName(part)
+    strongest = marked.groupBy("corpus_id", "pos").agg(F.max("density").alias("density"))
+    return strongest.groupBy("corpus_id").agg(F.collect_list(F.struct("pos", "density")).alias("marked"))
+
+
+def _share(n: Column, of: Column, full: float) -> Column:
+    """How near the share of other articles with the line is to full: the lower end of its interval (Wilson, 95 %) over full, 1 at most."""
+    z, hits, all_ = 1.96, n - 1.0, of - 1.0 + PRIOR_ARTICLES
+    p = hits / all_
+    low = (p + z * z / (2 * all_) - z * F.sqrt(p * (1 - p) / all_ + z * z / (4 * all_ * all_))) / (1 + z * z / all_)
+    return F.least(low / full, F.lit(1.0))
 
 
 def furniture(corpus: DataFrame) -> DataFrame:
@@ -210,10 +241,10 @@ def furniture(corpus: DataFrame) -> DataFrame:
 
     Reads corpus_id (unique), url, source, author, title and body. A null or empty body gives no rows; a page without any paragraph is furniture
     but for its credits. Null sources and authors are empty. Bodies are taken whole, whatever their length. Repeated rows are
-    pages of their own. A line counts as shared by its letters alone, over all articles of the corpus; copies of an article are one.
+    pages of their own. Shares count all articles of the corpus; copies of an article are one.
     """
     pages = corpus.select("corpus_id", "body", "author").filter(F.col("body").isNotNull())
-    marked = pages.join(_shared_places(corpus), "corpus_id", "left").select("corpus_id", "body", "author", "shared")
+    marked = pages.join(_densities(corpus), "corpus_id", "left").select("corpus_id", "body", "author", "marked")
     return marked.mapInArrow(_furniture_batches, "corpus_id bigint, line_no bigint")
 
 

@@ -263,6 +263,42 @@ def test_copies_of_an_article_keep_their_paragraphs(spark):
         assert got[r[0]] == {1, 6, 9, 12, 13, 14, 15, 16}, (r[0], got[r[0]])
 
 
+def test_the_score_decides(spark, monkeypatch):
+    rows = corpus(spark, prompt_pages())
+    got = pairs(page_body.furniture(rows))
+    # prompts that read like sentences go, the like of them in an article stays
+    assert {n for i, n in got if i == 0} == {1, 2, 5, 6, 7} and {n for i, n in got if i == 39} == {1, 2, 5, 6, 7}
+    batches = [r for r in rows.collect() if r["body"]]
+
+    def kept(densities):
+        return [page_body.article_lines(r["body"].split("\n"), densities, None) for r in batches]
+
+    dense = {0: 1.0, 1: 0.9, 4: 1.0, 5: 1.0, 6: 0.8}
+    whole = kept(dense)
+    assert whole[0] == {2, 3, 7}
+    monkeypatch.setattr(page_body, "score", lambda lines: float(any(x.kind == "text" for x in lines)))
+    assert sum(a != b for a, b in zip(whole, kept(dense))) == len(batches)
+    monkeypatch.setattr(page_body, "score", lambda lines: sum(x.points for x in lines))  # no discount for links
+    assert sum(a != b for a, b in zip(whole, kept(dense))) == len(batches)
+
+
+def prompt_pages(n=40):
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    body = lambda i: "\n".join([
+        "Home  Health  Food  Tech", "We use cookies to measure visits, and you can refuse them.", f"Officials in {letters(i)}ville approved the plan on Monday, and brokers had 20 days to respond to the {letters(i)} offer.",
+        f"The report drew {i} readers to {letters(i)}town, more than planned.", "Story continues below.", "Get our letter in your inbox every day.", "Tell us what you think, or write to the desk.", f"Readers of {letters(i)} praised it.",
+    ])
+    return [(i, f"https://n.example/{i}", body(i)) for i in range(n)]
+
+
+def test_shares_do_not_depend_on_the_size_of_the_corpus(spark):
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    # one sentence comes in 8 of 2,000 articles of a site: far from every page's furniture
+    filler = [(1000 + i, "https://big.example/x", f"The town of {letters(i)} said so on Monday, and more.\nNobody of {letters(i)} agreed with it, as it happens." + "\nThe ministry declined to comment on the case." * (i < 8)) for i in range(2000)]
+    got = pairs(page_body.furniture(corpus(spark, [*prompt_pages(), *filler])))
+    assert not {x for x in got if x[0] >= 1000} and {n for i, n in got if i == 3} == {1, 2, 5, 6, 7}
+
+
 # --- 5
 
 
