@@ -229,3 +229,19 @@ def test_hops_stop_for_their_reasons(spark):
     assert rows(h.evidence.select("qid", "hop", "doc"))[:2] == [("both", 1, 2), ("both", 2, 1)]  # the rarer words first
     short = loop.multi_hop(d, "id", F.col("t"), q.filter("qid = 'both'"), hops=1, k=1).traces.first()
     assert (short["reason"], short["covered"]) == ("max_hops", 0.5)
+
+
+def test_hot_keys_meet_in_blocks(spark):
+    rng = random.Random(3)
+    rows = [(i, 0 if rng.random() < 0.4 else rng.randint(1, 12), "x") for i in range(200)] + [(500, None, "x")]
+    df = spark.createDataFrame(rows, "id bigint, key int, n2 string")
+    counted = df.join(df.groupBy("key").count().withColumnRenamed("count", "n"), "key")
+    want = {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] is not None and a[0] < b[0]}
+    for size in (7, 1000):
+        got = [tuple(r) for r in skew.self_pairs(counted, ["key"], "id", "n", size=size).selectExpr("x.id", "y.id as other").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    right = spark.createDataFrame([(i, rng.choice([0, 0, 3, 99])) for i in range(90)], "other bigint, key int")
+    want = sorted((a[0], b[0]) for a in rows for b in map(tuple, right.collect()) if a[1] == b[1] is not None)
+    for size in (5, 1000):
+        got = skew.join_split(df, right, "key", "id", "other", size=size)
+        assert sorted(tuple(r) for r in got.select("id", "other").collect()) == want and got.columns == ["key", "id", "n2", "other"]
