@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -65,12 +67,10 @@ def _is_date(words: list[str], line: str) -> bool:
     return all(w[0].isdigit() or w[:3] in MONTHS or w in DATE_WORDS or w in WEEKDAYS for w in words)
 
 
-def _is_credit(words: list[str], line: str, author: str) -> bool:
+def _is_credit(words: list[str], line: str) -> bool:
+    low = " ".join(words)
     if not words or len(words) > 14:
         return False
-    low = " ".join(words)
-    if author and author in low and len(words) <= len(author.split()) + 5:
-        return True
     if low.endswith(" reports") and len(words) <= 6:
         return True
     for c in CREDITS:
@@ -79,28 +79,59 @@ def _is_credit(words: list[str], line: str, author: str) -> bool:
     return False
 
 
+class Form(NamedTuple):
+    """What a line's form alone says: kind (open, text or credit), link density, points, chars, whether it can head a list, and its words if they are few."""
+
+    kind: str
+    density: float
+    points: float
+    chars: int
+    heads: bool
+    numbered: bool
+    words: tuple[str, ...]
+
+
+def _points(bare: str) -> float:
+    return 1 + bare.count(",") + min(len(bare) / 100, 3.0)
+
+
+def _form(line: str) -> Form:
+    bare = _EDGE.sub("", line)
+    finished = bool(_SENTENCE.search(bare))
+    if finished and bare.count(" ") >= 2 * LONG_LINE:  # a long sentence is nothing else
+        return Form("text", 0.0, _points(bare), len(bare), False, False, ())
+    words = [w.lower() for w in _WORD.findall(bare)]
+    density, points = 0.0, 0.0
+    if _is_date(words, bare) or _is_credit(words, bare):
+        kind = "credit"
+    elif len(words) >= 3 and (finished or len(words) >= LONG_LINE or _INNER.search(bare)):
+        kind, points = "text", _points(bare)
+    else:
+        kind, density = "open", OPEN_DENSITY
+    parts = [p for p in _BARS.split(bare.strip()) if p]
+    path = len(parts) >= 3 and len(_PATH.findall(bare)) >= 2 and len(_WORD.findall(parts[0])) <= 2
+    bar = len(parts) >= 3 and sum(len(_WORD.findall(p)) for p in parts) <= 3 * len(parts)
+    if kind != "credit" and (not words or line.lstrip(" [*•").startswith((">>", "»")) or (path or bar) and not finished):
+        density = 1.0
+    return Form(kind, density, points, len(bare), len(words) <= 6, bool(_NUMBERED.match(line)), tuple(words) if len(words) <= 14 else ())
+
+
+#: Short lines come back on many pages; the last of them are remembered.
+_short_form = lru_cache(1 << 14)(_form)
+
+
 class Line:
-    """One line that is not blank: kind by its form (open, text or credit), link density, points, and whether it can head a list."""
+    """One line that is not blank: its form, with the link density that the corpus gives it and the credit that the author's name makes."""
 
     __slots__ = ("chars", "density", "heads", "kind", "numbered", "points")
 
-    def __init__(self, line: str, density: float, author: str):
-        bare = _EDGE.sub("", line)
-        words = [w.lower() for w in _WORD.findall(bare)]
-        self.chars, self.heads, self.numbered = len(bare), len(words) <= 6, bool(_NUMBERED.match(line))
-        self.density, self.points = density, 0.0
-        finished = _SENTENCE.search(bare)
-        if _is_date(words, bare) or _is_credit(words, bare, author):
-            self.kind, self.density = "credit", 0.0
-        elif len(words) >= 3 and (finished or len(words) >= LONG_LINE or _INNER.search(bare)):
-            self.kind, self.points = "text", 1 + bare.count(",") + min(len(bare) / 100, 3.0)
-        else:
-            self.kind, self.density = "open", max(self.density, OPEN_DENSITY)
-        parts = [p for p in _BARS.split(bare.strip()) if p]
-        path = len(parts) >= 3 and len(_PATH.findall(bare)) >= 2 and len(_WORD.findall(parts[0])) <= 2
-        bar = len(parts) >= 3 and sum(len(_WORD.findall(p)) for p in parts) <= 3 * len(parts)
-        if self.kind != "credit" and (not words or line.lstrip(" [*•").startswith((">>", "»")) or (path or bar) and not finished):
-            self.density = 1.0
+    def __init__(self, line: str, density: float, author: tuple[str, ...]):
+        f = _short_form(line) if len(line) <= 200 else _form(line)
+        self.kind, self.points, self.chars, self.heads, self.numbered = f.kind, f.points, f.chars, f.heads, f.numbered
+        self.density = 0.0 if f.kind == "credit" else max(f.density, density)
+        n = len(author)
+        if n and n <= len(f.words) <= n + 5 and any(f.words[i : i + n] == author for i in range(len(f.words) - n + 1)):
+            self.kind, self.density, self.points = "credit", 0.0, 0.0
 
     @property
     def link(self) -> bool:
@@ -148,7 +179,7 @@ def containers(lines: list[Line]) -> list[list[int]]:
 
 def article_lines(lines: list[str], densities: dict[int, float], author: str | None) -> set[int]:
     """Places, from 0, of the lines that are the article; blank lines are none. densities: those estimated from the corpus, by place."""
-    by = " ".join(w.lower() for w in _WORD.findall(author or ""))
+    by = tuple(w.lower() for w in _WORD.findall(author or ""))
     full = [i for i, x in enumerate(lines) if x.strip()]
     read = [Line(lines[i], densities.get(i, 0.0), by) for i in full]
     tree = containers(read)
@@ -189,30 +220,33 @@ def _densities(corpus: DataFrame) -> DataFrame:
     names = materialise(sizes.groupBy("site").agg(usual.alias("name"), F.sum("n").alias("n")), "names")
     rows, total = names.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     pages = corpus.select("corpus_id", site.alias("site"), "body", titled.alias("title")).filter(F.col("body").isNotNull())
-    keys = line_keys(F.col("body"))
-    pages = join_counted(pages, names, ["site"], "n", rows, total).select("corpus_id", F.xxhash64("site").alias("site"), "title", "name", keys.alias("keys"), F.split(F.col("body"), "\n", -1).alias("lines"))
-    # the page's own site name says nothing about a line
-    masked = F.when(F.length("name") > 3, F.transform("keys", lambda k: F.replace(k, F.col("name"), F.lit("")))).otherwise(F.col("keys"))
-    label = lambda x: F.regexp_extract(x, _LABEL, 1)
-    labels = F.transform("lines", lambda x: F.when(label(x) != "", F.concat(F.lit(":"), letters(label(x)))))
-    pages = pages.select("corpus_id", "site", "title", masked.alias("keys"), labels.alias("labels"), F.transform("lines", lambda x: F.when(label(x) != "", 1 - F.length(label(x)) / F.length(x)).otherwise(0.0)).alias("behind"))
-    seen = F.array_distinct(F.concat("keys", F.filter("labels", lambda x: x.isNotNull())))
-    named = lambda c: (F.xxhash64(c).alias("h"), F.hash(c).alias("g"))
-    counts = pages.select(F.explode(seen).alias("key")).filter(F.col("key") != "").groupBy(*named("key")).agg(F.count(F.lit(1)).alias("pages"))
+    article = F.coalesce("title", F.xxhash64("body"))
+    heads = materialise(pages.select(F.xxhash64("site").alias("site"), article.alias("article")).distinct(), "articles")
+    named = join_counted(pages, names, ["site"], "n", rows, total).select("corpus_id", F.xxhash64("site").alias("site"), "title", _masked(line_keys(F.col("body")), F.col("name")).alias("keys"), F.split(F.col("body"), "\n", -1).alias("lines"))
+    marked = F.when(F.instr("line", ":").between(3, 40), F.regexp_extract("line", _LABEL, 1))
+    label = F.when(F.col("label") != "", F.concat(F.lit(":"), letters(F.col("label"))))
+
+    def lines(df: DataFrame, *keep: str) -> DataFrame:
+        """One row per line with its letters, and one more per label; part is the share of the line that the key speaks for."""
+        flat = df.select(*keep, F.posexplode(F.arrays_zip(F.col("keys").alias("key"), F.col("lines").alias("line"))).alias("pos", "x")).filter(F.col("x.key") != "")
+        flat = flat.select(*keep, "pos", F.col("x.key").alias("key"), F.col("x.line").alias("line")).select(*keep, "pos", "key", "line", marked.alias("label"))
+        flat = flat.select(*keep, "pos", "key", label.alias("other"), (1 - F.length("label") / F.length("line")).alias("part"))
+        own, other = (F.struct(k.alias("key"), p.alias("part")) for k, p in ((F.col("key"), F.lit(1.0)), (F.col("other"), F.col("part"))))
+        flat = flat.select(*keep, "pos", F.explode(F.when(F.col("other").isNull(), F.array(own)).otherwise(F.array(own, other))).alias("k")).filter(F.col("k.key") != "")
+        return flat.select(*keep, "pos", F.col("k.part").alias("part"), F.xxhash64("k.key").alias("h"), F.hash("k.key").alias("g"))
+
+    # more places than pages is no matter here: articles are counted below
+    counts = lines(named).groupBy("h", "g").agg(F.count(F.lit(1)).alias("pages"))
     often = materialise(counts.filter(F.col("pages") >= LEAST_ARTICLES), "lines")
     rows, total = often.agg(F.count(F.lit(1)), F.coalesce(F.sum("pages"), F.lit(0))).first()
-    longest = F.slice(F.reverse(F.array_sort(F.transform(F.array_distinct("keys"), lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))), 1, 2)
-    pages = pages.select("corpus_id", "site", "title", F.transform(longest, lambda x: F.xxhash64(x["k"])).alias("tops"), F.arrays_zip("keys", "labels", "behind").alias("x"))
-    places = pages.select("corpus_id", "site", "title", "tops", F.posexplode("x").alias("pos", "x"))
-    either = F.array(F.struct(F.col("x.keys").alias("key"), F.lit(1.0).alias("part")), F.struct(F.col("x.labels").alias("key"), F.col("x.behind").alias("part")))
-    places = places.select("corpus_id", "site", "title", "tops", "pos", F.explode(F.filter(either, lambda e: e["key"] != "")).alias("e"))
-    sized = places.select("corpus_id", "site", "title", "tops", "pos", F.col("e.part").alias("part"), *named("e.key"))
+    longest = F.sort_array(F.transform(F.array_distinct("keys"), lambda k: F.struct(F.length(k).alias("n"), F.xxhash64(k).alias("k"))), asc=False)
+    topped = named.withColumn("tops", F.transform(F.slice(longest, 1, 2), lambda x: x["k"]))
+    sized = lines(topped, "corpus_id", "site", "title", "tops")
     found = join_counted(sized, often, ["h", "g"], "pages", rows, total)
-    beside = F.when(F.get("tops", F.lit(0)) != F.col("h"), F.get("tops", F.lit(0))).otherwise(F.coalesce(F.get("tops", F.lit(1)), "title", "h"))
+    first, second = F.get("tops", F.lit(0)), F.get("tops", F.lit(1))
+    beside = F.when(first != F.col("h"), first).otherwise(F.coalesce(second, "title", "h"))
     found = materialise(found.select("corpus_id", "site", "pos", "part", "h", "g", F.coalesce("title", beside).alias("title"), beside.alias("beside")), "places")
     articles = F.least(F.count_distinct("title"), F.count_distinct("beside")).alias("articles")
-    of_all = F.coalesce("title", "top")
-    heads = materialise(pages.select("site", "title", F.get("tops", F.lit(0)).alias("top")).select("site", of_all.alias("article")).distinct(), "articles")
     everything = heads.agg(F.count_distinct("article")).first()[0]
     per_site = heads.groupBy("site").agg(F.count(F.lit(1)).alias("of"))
     local = found.groupBy("h", "g", "site").agg(F.count(F.lit(1)).alias("rows"), articles).filter(F.col("articles") >= LEAST_ARTICLES).join(per_site, "site")
@@ -228,6 +262,11 @@ def _densities(corpus: DataFrame) -> DataFrame:
     return strongest.groupBy("corpus_id").agg(F.collect_list(F.struct("pos", "density")).alias("marked"))
 
 
+def _masked(keys: Column, name: Column) -> Column:
+    """Lines' letters without those of the page's own site name, which says nothing about a line; names of up to 3 letters stay."""
+    return F.when(F.length(name) > 3, F.transform(keys, lambda k: F.when(F.contains(k, name), F.replace(k, name, F.lit(""))).otherwise(k))).otherwise(keys)
+
+
 def _share(n: Column, of: Column, full: float) -> Column:
     """How near the share of other articles with the line is to full: the lower end of its interval (Wilson, 95 %) over full, 1 at most."""
     z, hits, all_ = 1.96, n - 1.0, of - 1.0 + PRIOR_ARTICLES
