@@ -1,14 +1,15 @@
 """Held-out passages inside a corpus: pigeonhole pieces, then bit-parallel edit distance.
 
 The unit is a window of WINDOW consecutive words of a passage. With a budget of k edits (words put in, left out or replaced) it is
-split into k + 1 pieces; a text place within the budget holds one of them unchanged. Pieces of all windows of a block of passages
-are a sorted table that every task holds; a text's runs of as many words are looked up in it, and each hit's windows are verified
-with Myers' bit-parallel recurrence, which here runs over many windows at once as arrays of 64-bit words.
+split into k + 1 pieces; a text place within the budget holds one of them unchanged. The pieces of all passages are a table by their
+hashes, as large as the passages need. One pass over the corpus hashes a text's runs of as many words; those that a filter of
+FILTER_BITS bits over the pieces lets through go on with the words around them and are joined with the table, common pieces in
+blocks. Each pair's windows are verified with Myers' bit-parallel recurrence, which here runs over many windows at once as arrays
+of 64-bit words.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_split
+from ..runtime import materialise
 from .lookalikes import plain
 from .words import shingles, word_hashes
 
 WINDOW = 12
-#: Passages that one pass over the corpus looks for; more take more passes, so the table in each task stays bounded.
-BLOCK_ITEMS = 20_000
+#: Bits of the filter that every task holds, whatever the number of passages; a power of 2. A fuller one lets more through to the join.
+FILTER_BITS = 1 << 26
 _U = np.uint64
 
 
@@ -46,87 +49,91 @@ def myers(pattern: np.ndarray, text: np.ndarray) -> np.ndarray:
     return best
 
 
-def _piece_table(passages: list[tuple[int, str]], size: int, window: int) -> tuple[np.ndarray, ...]:
-    words, at = word_hashes([plain(p) for _, p in passages])
-    long = np.flatnonzero(np.diff(at) >= window)
-    runs, run_at = shingles(words, at, size)
-    owner = np.repeat(np.arange(len(passages)), np.diff(run_at))
-    offset = np.arange(len(runs)) - np.repeat(run_at[:-1], np.diff(run_at))
-    keep = np.isin(owner, long)
-    order = np.argsort(runs[keep], kind="stable")
-    return words, at, np.array([i for i, _ in passages], dtype=np.int64), runs[keep][order], owner[keep][order], offset[keep][order]
+def _run_batches(size: int, before: int, after: int, least: int, shared=None):
+    """(key, h, around) of every run of size words of texts of least words and more, or of those that the shared filter lets through.
 
-
-def _scan_batches(shared, window: int, errors: int):
-    size = window // (errors + 1)
+    around holds the hashes of the before words in front of the run and of the after words from its first one on; 0 where there is none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, at, ids, pieces, owner, offset = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
             keys = np.asarray(batch.column(0).cast(pa.int64()))
             for lo in range(0, len(texts), 512):
-                part = [plain(t) for t in texts[lo : lo + 512]]
-                own, own_at = word_hashes(part)
-                runs, run_at = shingles(own, own_at, size)
-                first, after = np.searchsorted(pieces, runs), np.searchsorted(pieces, runs, side="right")
-                hit = np.flatnonzero(after > first)
-                times = after[hit] - first[hit]
-                entry = np.repeat(first[hit] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-                place = np.repeat(hit, times)
-                doc = np.searchsorted(run_at, place, side="right") - 1
-                spot = place - run_at[doc] + own_at[doc]
-                item, piece = owner[entry], offset[entry]
-                found = []
-                for k in range(errors + 1):  # the windows of which the hit is piece k
-                    start = piece - k * size
-                    ok = (start >= 0) & (start + window <= at[item + 1] - at[item])
-                    found.append(np.stack([doc[ok], item[ok], start[ok], spot[ok] - k * size]))
-                places = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((4, 0), dtype=np.int64)
-                out: list[np.ndarray] = []
-                for a in range(0, places.shape[1], 1 << 15):
-                    d, it, start, begin = places[:, a : a + (1 << 15)]
-                    if not len(d):
-                        continue
-                    pattern = words[(at[it] + start)[:, None] + np.arange(window)]
-                    where = (begin - errors)[:, None] + np.arange(window + 2 * errors)
-                    inside = (where >= own_at[d][:, None]) & (where < own_at[d + 1][:, None])
-                    text = np.where(inside, own[np.clip(where, 0, len(own) - 1)], _U(0))
-                    out.append(np.stack([d, it, myers(pattern, text)]))
-                if not out:
-                    continue
-                d, it, distance = np.concatenate(out, axis=1)
-                near = distance <= errors
-                if near.any():
-                    d, it, distance = d[near], it[near], distance[near]
-                    order = np.lexsort((distance, it, d))
-                    d, it, distance = d[order], it[order], distance[order]
-                    head = np.flatnonzero(np.concatenate(([True], (np.diff(d) != 0) | (np.diff(it) != 0))))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[lo + d[head]]), pa.array(ids[it[head]]), pa.array(distance[head].astype(np.int32)), pa.array(np.diff(np.append(head, len(d))).astype(np.int32))],
-                        names=["id", "item_id", "distance", "windows"],
-                    )
+                words, at = word_hashes([plain(t) for t in texts[lo : lo + 512]])
+                runs, run_at = shingles(words, at, size)
+                owner = np.repeat(np.arange(len(at) - 1), np.diff(run_at))
+                if shared is None:
+                    hit = np.flatnonzero(np.diff(at)[owner] >= least)
+                else:
+                    place = runs & _U(FILTER_BITS - 1)
+                    hit = np.flatnonzero((shared.value[place >> _U(6)] >> (place & _U(63))) & _U(1))
+                    hit = hit[np.diff(at)[owner[hit]] >= least]
+                for a in range(0, len(hit), 1 << 14):
+                    part = hit[a : a + (1 << 14)]
+                    doc = owner[part]
+                    first = part - run_at[doc] + at[doc]
+                    where = first[:, None] + np.arange(-before, after)
+                    inside = (where >= at[doc][:, None]) & (where < at[doc + 1][:, None])
+                    around = np.where(inside, words[np.clip(where, 0, max(0, len(words) - 1))], _U(0)).view(np.int64)
+                    lists = pa.FixedSizeListArray.from_arrays(pa.array(around.ravel()), before + after).cast(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo + doc]), pa.array(runs[part].view(np.int64)), lists], names=["key", "h", "around"])
+
+    return run
+
+
+def _filter(pieces: DataFrame):
+    """The filter over the pieces' hashes as 64-bit words, shared with all tasks; what the driver gets is bounded by FILTER_BITS / 64 rows."""
+    place = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
+    bits = pieces.select("h").distinct().groupBy(F.shiftright(place, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(h & 63 as int))")).alias("b")).toPandas()
+    words = np.zeros(FILTER_BITS // 64, dtype=_U)
+    words[bits["w"].to_numpy(dtype=np.int64)] = bits["b"].to_numpy(dtype=np.int64).view(_U)
+    return pieces.sparkSession.sparkContext.broadcast(words)
+
+
+def _distance_batches(window: int, errors: int):
+    """Least distance of each (id, item_id, text words, item words), both around one piece."""
+    size = window // (errors + 1)
+    before = errors * size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            text, item = (np.asarray(batch.column(i).flatten()).view(_U).reshape(n, -1) for i in (2, 3))
+            best = np.full(n, window, dtype=np.int32)
+            for k in range(errors + 1):  # the window of which the piece is the k-th
+                start = before - k * size
+                pattern = item[:, start : start + window]
+                ok = np.flatnonzero((pattern != 0).all(axis=1))
+                if len(ok):
+                    part = text[ok, start : start + window + 2 * errors]
+                    best[ok] = np.minimum(best[ok], myers(pattern[ok], part))
+            near = np.flatnonzero(best <= errors)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(near), batch.column(1).take(near), pa.array(best[near])], names=["id", "item_id", "distance"])
 
     return run
 
 
 def leaks(documents: DataFrame, id_col: str, text_col: str, passages: DataFrame, errors: int = 2, window: int = WINDOW) -> DataFrame:
-    """(id, item_id, distance, windows): documents that hold window words of a passage within errors edits.
+    """(id, item_id, distance): documents that hold window words of a passage within errors edits; no row twice.
 
     passages: (item_id, passage). Texts and passages are compared in the plain form of lookalikes and lower-cased, words alone.
-    distance is the least over all windows, windows the number of (window, place) pairs within the budget. Null and empty texts or
-    passages, and passages of under window words, give no rows. Texts are taken whole; repeated rows give repeated results.
+    distance is the least over all windows. Null and empty texts or passages, passages of under window words, and texts of fewer than
+    window - errors words, give no rows. Texts are taken whole; rows with one id count together. The corpus is read once,
+    whatever the number of passages.
     """
-    if window // (errors + 1) < 1 or window > 63:
+    size = window // (errors + 1)
+    if size < 1 or window > 63:
         raise ValueError("a window has at least one word for each piece and at most 63")
-    spark = documents.sparkSession
+    before, kind = errors * size, "key bigint, h bigint, around array<bigint>"
     items = passages.select(F.col("item_id").cast("bigint"), "passage").filter(F.col("passage").isNotNull() & F.col("item_id").isNotNull())
+    pieces = materialise(items.mapInArrow(_run_batches(size, before, window, window), kind).withColumnsRenamed({"key": "item_id", "around": "item"}), "pieces")
     rows = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    blocks = max(1, math.ceil(items.count() / BLOCK_ITEMS))
-    out = None
-    for b in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast(_piece_table([(r[0], r[1]) for r in block], window // (errors + 1), window))
-        found = rows.mapInArrow(_scan_batches(shared, window, errors), "id bigint, item_id bigint, distance int, windows int")
-        out = found if out is None else out.unionByName(found)
-    return out
+    # edits may widen a text place by errors words on either side
+    found = rows.mapInArrow(_run_batches(size, before + errors, window + errors, window - errors, _filter(pieces)), kind)
+    hits = materialise(found.withColumnsRenamed({"key": "id", "around": "words"}), "hits")
+    met = join_split(hits, pieces, "h", "id", "item_id").select("id", "item_id", "words", "item")
+    near = met.mapInArrow(_distance_batches(window, errors), "id bigint, item_id bigint, distance int")
+    return near.groupBy("id", "item_id").agg(F.min("distance").alias("distance"))

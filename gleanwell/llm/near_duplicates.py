@@ -1,10 +1,13 @@
 """Near-duplicate records: an LSH forest over MinHash signatures, then exact verification.
 
-1. Every record gets its word shingles' MinHash values in TREES paths or more, a hash of its word sequence and a 128-bit sketch. The number of
-   trees follows from the recall that a pair right at the threshold must have, never from the pairs that are found.
-2. Records with one word sequence are a class; the class's lowest id stands for it, so a hot group of copies is one record.
-3. In each tree, records that share a path of SHORT values meet in a join on the path. A pair leaves the join only if the sketches allow
-   the threshold (four standard deviations of tolerance), so a bucket does not emit all its pairs.
+1. Every record gets a path of LONG MinHash values of its word shingles in each of some trees, a hash of its word sequence and a 128-bit
+   sketch. Records with one word sequence are a class; the class's lowest id stands for it, so a hot group of copies is one record.
+2. A tree is a trie of the paths, a node being the records that share a prefix. Prefixes start at their full length and are shortened as
+   long as the node they lead to stays small, down to SHORT values, where the forest has the target recall for a pair right at the
+   threshold. In crowded nodes the longer prefixes stay. What this costs a record in recall is counted from the lengths it has in all its
+   trees; a record that would fall below the target has all its nodes shortened after all, and such nodes are met block by block.
+3. Records under one leaf meet. A pair leaves the join only if the sketches allow the threshold (four standard deviations of tolerance), so
+   a leaf does not emit all its pairs.
 4. Every candidate is verified exactly.
 5. Verified pairs of classes and the class of every record come out; pairs of records follow by joining both.
 """
@@ -20,38 +23,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import join_counted
+from ..operators.skew import join_counted, join_split, self_pairs
 from ..runtime import BROADCAST_ROWS, materialise
 from .words import mix, shingles, word_hashes
 
 #: Trees at least; low thresholds take more of them.
 TREES = 64
-#: Values of a path that the trees are joined on.
-SHORT = 4
+#: Values of a path, and those that its prefix keeps at least.
+LONG, SHORT = 6, 4
+#: Records from which a node is crowded.
+CROWD = 1_000
 SKETCH_BITS = 128
 _U = np.uint64
 
 
 class Links(NamedTuple):
-    """members: (id, rep, words), one row per record; pairs: (a, b, similarity) of different reps, a < b; recall: that of a pair right at the threshold, the least of all."""
+    """members: (id, rep, words), one row per record; pairs: (a, b, similarity) of different reps, a < b; recall: that of a pair right at the
+    threshold for the record that has the least, sketches included; trees; crowded: (id, recall) of records with longer prefixes."""
 
     members: DataFrame
     pairs: DataFrame
     recall: float
+    trees: int
+    crowded: DataFrame
 
 
 def trees_for(threshold: float, target: float) -> int:
-    """The trees in which a pair of the threshold's similarity shares a path of SHORT values with a chance of target or more."""
+    """Trees in which a pair of the threshold's similarity shares a path of SHORT values with a chance that misses at most half of what target allows."""
     if threshold >= 1:
         return TREES
-    return max(TREES, math.ceil(math.log(1 - target) / math.log(1 - threshold**SHORT)))
+    return max(TREES, math.ceil(math.log((1 - target) / 2) / math.log(1 - threshold**SHORT)))
+
+
+def _sketch_floor(threshold: float) -> int:
+    """Equal sketch bits that a pair must have: four standard deviations below what the threshold makes one expect."""
+    return int(SKETCH_BITS * (1 + threshold) / 2 - 4 * (SKETCH_BITS * (1 + threshold) * (1 - threshold)) ** 0.5 / 2)
+
+
+def _sketch_recall(threshold: float) -> float:
+    """The chance that a pair right at the threshold has that many equal bits."""
+    p, least = (1 + threshold) / 2, _sketch_floor(threshold)
+    return 1 - sum(math.comb(SKETCH_BITS, k) * p**k * (1 - p) ** (SKETCH_BITS - k) for k in range(least))
 
 
 def _signature_batches(size: int, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(20240611)
-        times = (rng.integers(0, 1 << 32, trees * SHORT, dtype=np.uint64) | _U(1)).astype(np.uint32)
-        plus = rng.integers(0, 1 << 32, trees * SHORT, dtype=np.uint64).astype(np.uint32)
+        times = (rng.integers(0, 1 << 32, trees * LONG, dtype=np.uint64) | _U(1)).astype(np.uint32)
+        plus = rng.integers(0, 1 << 32, trees * LONG, dtype=np.uint64).astype(np.uint32)
         tree = mix(np.arange(1, trees + 1, dtype=_U))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -68,17 +87,22 @@ def _signature_batches(size: int, trees: int):
                     np.cumsum(mix(words + mix(place + _U(seed))), out=sums[1:])
                     prints.append(mix(sums[at[1:]] - sums[at[:-1]] + counts.astype(_U)))
                 has = np.flatnonzero(np.diff(run_at))
-                least = np.zeros((n, trees * SHORT), dtype=np.uint32)
+                least = np.zeros((n, trees * LONG), dtype=np.uint32)
                 if len(has):
                     low, starts = (runs >> _U(32)).astype(np.uint32), run_at[:-1][has]
-                    for i in range(trees * SHORT):
+                    for i in range(trees * LONG):
                         least[has, i] = np.minimum.reduceat(low * times[i] + plus[i], starts)
-                paths = least.reshape(n, trees, SHORT).astype(_U)
+                paths = least.reshape(n, trees, LONG).astype(_U)
                 keys = np.broadcast_to(tree, (n, trees)).copy()
                 for k in range(SHORT):
                     keys = mix(keys ^ paths[:, :, k])
+                # the rest of the path, in 16 bits for each value
+                more = np.zeros((n, trees), dtype=_U)
+                for k in range(SHORT, LONG):
+                    more = (more << _U(16)) | (mix(paths[:, :, k]) & _U(0xFFFF))
                 bits = (mix(least[:, :SKETCH_BITS].astype(_U)) & _U(1)).astype(np.uint8)
                 sketch = np.packbits(bits, axis=1).view(">u8").astype(np.int64)
+                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * trees)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, n).cast(pa.int64()),
@@ -87,9 +111,10 @@ def _signature_batches(size: int, trees: int):
                         pa.array(prints[1].view(np.int64)),
                         pa.array(sketch[:, 0]),
                         pa.array(sketch[:, 1]),
-                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * trees), pa.array(keys.view(np.int64).ravel())),
+                        pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel())),
+                        pa.ListArray.from_arrays(offsets, pa.array(more.astype(np.uint32).view(np.int32).ravel())),
                     ],
-                    names=["id", "words", "f1", "f2", "s1", "s2", "keys"],
+                    names=["id", "words", "f1", "f2", "s1", "s2", "keys", "more"],
                 )
 
     return run
@@ -125,14 +150,13 @@ def link(records: DataFrame, id_col: str, text: F.Column, threshold: float = 0.8
     id_col: a unique bigint; text: the column to compare. Null is the empty text; texts of under shingle words have no shingle and
     join no pair, though equal ones share a class. Texts of any length are taken whole. Repeated rows share a class. Columns other
     than id_col and those of text are not read. An empty table gives empty results. target: the recall of pairs right at the threshold,
-    below 1. A pair of similarity s is missed with a chance of (1 - s^4)^trees, trees being trees_for(threshold, target): under 0.5 %
-    at a threshold of 0.5 (83 trees), under 1e-14 at 0.8 (64), whatever else the table holds; low thresholds cost many trees (204 at 0.4).
-    The sketches lose under 0.01 % more. What is found is exact but for 64-bit hash collisions.
+    below 1; low thresholds cost many trees (93 at 0.5, 231 at 0.4). A pair of similarity s is missed with a chance of the product of
+    1 - s^length over the lengths of prefixes in all trees, (1 - s^4)^trees outside crowded nodes: 0.25 % at 0.5, 1e-14 at 0.8. The
+    recall of the record that has the least is in the result; below target it raises. What is found is exact but for 64-bit hash collisions.
     """
-    spark = records.sparkSession
     rows = records.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
     trees = trees_for(threshold, target)
-    schema = "id bigint, words int, f1 bigint, f2 bigint, s1 bigint, s2 bigint, keys array<bigint>"
+    schema = "id bigint, words int, f1 bigint, f2 bigint, s1 bigint, s2 bigint, keys array<bigint>, more array<int>"
     signed = materialise(rows.mapInArrow(_signature_batches(shingle, trees), schema), "signatures")
     reps = materialise(signed.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "reps")
     members = join_counted(signed.select("id", "words", "f1", "f2"), reps, ["f1", "f2"], "copies", *_size(reps, "copies"))
@@ -140,14 +164,57 @@ def link(records: DataFrame, id_col: str, text: F.Column, threshold: float = 0.8
     copies = members.filter(F.col("id") != F.col("rep")).select("id")
     n = copies.count()
     alone = signed.filter(F.col("words") >= shingle).join(F.broadcast(copies) if n <= BROADCAST_ROWS else copies, "id", "left_anti")
-    forest = alone.select(F.explode("keys").alias("key"), "id", "s1", "s2")
-    least = int(SKETCH_BITS * (1 + threshold) / 2 - 4 * (SKETCH_BITS * (1 + threshold) * (1 - threshold)) ** 0.5 / 2)
-    x, y = forest.alias("x"), forest.alias("y")
+    leaves, crowded, least = _leaves(alone, threshold, trees, target)
     apart = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (apart <= SKETCH_BITS - least))
+    met = self_pairs(leaves, ["leaf"], "id", "n", apart <= SKETCH_BITS - _sketch_floor(threshold))
     candidates = materialise(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "candidates")
     found = materialise(_verified(rows, candidates, shingle, threshold), "verified")
-    return Links(members, found, 1 - (1 - threshold**SHORT) ** trees)
+    recall = least * _sketch_recall(threshold)
+    if recall < target:
+        raise ValueError(f"the recall of pairs right at {threshold} is {recall:.6f}")
+    return Links(members, found, recall, trees, crowded)
+
+
+def _leaves(alone: DataFrame, threshold: float, trees: int, target: float) -> tuple[DataFrame, DataFrame, float]:
+    """(leaf, id, s1, s2, n) of all records that share a leaf with another, n being its records; (id, recall) of records with longer prefixes; the least recall.
+
+    Nodes at the shortest prefix are counted first; most hold one record, which then takes no further part.
+    """
+    forest = alone.select(F.explode(F.arrays_zip("keys", "more")).alias("p"), "id", "s1", "s2").select(F.col("p.keys").alias("key"), F.col("p.more").alias("more"), "id", "s1", "s2")
+    counts = alone.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    nodes = materialise(counts.filter("n > 1"), "nodes")
+    n_nodes, total, most = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    shared = join_counted(forest, nodes, ["key"], "n", n_nodes, total)
+    whole = 1 - (1 - threshold**SHORT) ** trees
+    none = alone.select("id", F.lit(whole).alias("recall")).filter("false")
+    if most <= CROWD:
+        return shared.select(F.col("key").alias("leaf"), "id", "s1", "s2", "n"), none, whole
+    shared = materialise(shared, "shared")
+    # prefixes of crowded nodes by length: the shortest of which the node is small, else the longest
+    crowd = shared.filter(F.col("n") > CROWD).select("key", "more", "id", "s1", "s2", F.col("n").alias("n_short"))
+    longer = {k: F.xxhash64("key", F.lit(k), F.shiftrightunsigned("more", 16 * (LONG - k))) for k in range(SHORT + 1, LONG + 1)}
+    leaf, size, length = F.col(f"k{LONG}"), F.col(f"n{LONG}"), F.lit(LONG)
+    wide = crowd.withColumns({f"k{k}": c for k, c in longer.items()})
+    for k in longer:
+        per = materialise(wide.groupBy(f"k{k}").agg(F.count(F.lit(1)).alias(f"n{k}")), "nodes")
+        wide = join_counted(wide, per, [f"k{k}"], f"n{k}", *_size(per, f"n{k}"))
+    for k in reversed([*longer][:-1]):
+        small = F.col(f"n{k}") <= CROWD
+        leaf, size, length = (F.when(small, a).otherwise(b) for a, b in ((F.col(f"k{k}"), leaf), (F.col(f"n{k}"), size), (F.lit(k), length)))
+    wide = materialise(wide.select("key", "n_short", "id", "s1", "s2", leaf.alias("leaf"), size.alias("n"), length.alias("length")), "crowd")
+    lost = lambda k: F.log(1 - F.pow(F.lit(threshold), k)) - math.log(1 - threshold**SHORT)
+    recall = 1 - F.exp(F.lit(trees * math.log(1 - threshold**SHORT)) + F.sum(lost(F.col("length"))))
+    per_record = materialise(wide.groupBy("id").agg(recall.alias("recall")), "recalls")
+    below = per_record.filter(F.col("recall") < target / _sketch_recall(threshold))
+    back = materialise(wide.join(below.select("id"), "id", "left_semi").select("key").distinct(), "shortened")
+    known = F.broadcast(back) if back.count() <= BROADCAST_ROWS else back
+    long_ = wide.join(known, "key", "left_anti").select("leaf", "id", "s1", "s2", "n").filter("n > 1")
+    short = wide.join(known, "key", "left_semi").select(F.col("key").alias("leaf"), "id", "s1", "s2", F.col("n_short").alias("n"))
+    light = shared.filter(F.col("n") <= CROWD).select(F.col("key").alias("leaf"), "id", "s1", "s2", "n")
+    final = wide.join(known, "key", "left_anti").groupBy("id").agg(recall.alias("recall"))
+    final = materialise(final, "recalls")
+    least = final.agg(F.min("recall")).first()[0]
+    return light.unionByName(long_).unionByName(short), final, min(whole, least if least is not None else whole)
 
 
 def _size(df: DataFrame, count: str) -> tuple[int, int]:
@@ -166,13 +233,15 @@ def _verified(rows: DataFrame, pairs: DataFrame, shingle: int, threshold: float)
 
 
 def record_pairs(links: Links, shingle: int) -> DataFrame:
-    """(a, b), a < b: all pairs of records, those within a class of equal texts of shingle words and more included."""
+    """(a, b), a < b: all pairs of records, those within a class of equal texts of shingle words and more included; large classes are met in blocks."""
     m = links.members.filter(F.col("words") >= shingle).select("id", "rep")
-    left, right = m.alias("l"), m.alias("r")
-    same = left.join(right, (F.col("l.rep") == F.col("r.rep")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-    first = links.pairs.select("a", "b").join(m.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a")
-    across = first.join(m.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return same.unionByName(across)
+    sizes = materialise(m.groupBy("rep").agg(F.count(F.lit(1)).alias("n")), "classes")
+    m = materialise(join_counted(m, sizes, ["rep"], "n", *_size(sizes, "n")), "members")
+    same = self_pairs(m.filter("n > 1"), ["rep"], "id", "n").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    across = links.pairs.select(F.col("a").alias("rep"), "b")
+    across = join_split(across, m.select("rep", F.col("id").alias("x")), "rep", "b", "x").select("x", F.col("b").alias("rep"))
+    across = join_split(materialise(across, "half"), m.select("rep", F.col("id").alias("y")), "rep", "x", "y")
+    return same.unionByName(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def groups(links: Links) -> DataFrame:

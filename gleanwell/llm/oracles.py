@@ -21,6 +21,13 @@ SELECT d.corpus_id, CASE WHEN d.body IS NULL THEN NULL ELSE coalesce(m.clean, ''
 FROM corpus_documents d LEFT JOIN (SELECT corpus_id, string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT cut) AS clean, count(*) FILTER (WHERE cut) AS n FROM marked GROUP BY corpus_id) m USING (corpus_id)""",
 }
 
+ORACLES["p2_sequences"] = f"""WITH {_LINES}, numbered AS (SELECT k.corpus_id, k.line_no, k.site, k.key, n, row_number() OVER (PARTITION BY k.corpus_id ORDER BY k.line_no) AS at
+  FROM keyed k JOIN (SELECT site, key, count(DISTINCT corpus_id) AS n FROM keyed WHERE key <> '' GROUP BY ALL HAVING n >= 10) USING (site, key)),
+two AS (SELECT a.corpus_id, a.site, a.key AS k1, b.key AS k2, a.line_no AS l1, b.line_no AS l2 FROM numbered a JOIN numbered b ON a.corpus_id = b.corpus_id AND b.at - a.at IN (1, 2)),
+often2 AS (SELECT site, k1, k2 FROM two GROUP BY ALL HAVING count(DISTINCT corpus_id) >= 10),
+held AS (SELECT corpus_id, l1, l2 FROM two JOIN often2 USING (site, k1, k2))
+SELECT corpus_id, CAST(l1 AS BIGINT) AS line_no FROM held UNION SELECT corpus_id, CAST(l2 AS BIGINT) FROM held UNION SELECT corpus_id, CAST(line_no AS BIGINT) FROM numbered WHERE n >= 20"""
+
 _CELLS = r"""
 pop AS (SELECT DISTINCT qa_id, regexp_replace(lower(question_type), '[\s_\-]+', '', 'g') AS k, hop_count FROM phase9_holdout_report
   WHERE qa_id IS NOT NULL AND hop_count IS NOT NULL AND regexp_replace(lower(question_type), '[\s_\-]+', '', 'g') <> ''),

@@ -39,18 +39,23 @@ def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that at least 10 pages of their site hold."""
-    return repeated_lines.repeated_places(repeated_lines.mine(_corpus(spark, sf_dir)))
+    """Lines that at least 10 pages of their site hold, and lines of sequences that do."""
+    return repeated_lines.repeated_places(repeated_lines.mine(_corpus(spark, sf_dir), longest=2))
 
 
 def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with its body freed of repeated lines."""
     corpus = _corpus(spark, sf_dir)
-    return repeated_lines.without_repeated_lines(corpus, repeated_lines.mine(corpus)).select("corpus_id", "clean_body", "removed_lines")
+    return repeated_lines.without_repeated_lines(corpus, repeated_lines.mine(corpus, longest=2)).select("corpus_id", "clean_body", "removed_lines")
+
+
+def p2_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that 20 pages of their site hold, or that stand in sequences which 10 pages hold: more than single lines would give."""
+    return repeated_lines.repeated_places(repeated_lines.mine(_corpus(spark, sf_dir), 20, 10, longest=2))
 
 
 def p2_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequent line sequences by length: how many there are and the pages that hold the commonest."""
+    """Frequent line sequences by length, but for parts of longer ones that always come with them: how many there are and the pages that hold the commonest."""
     mined = repeated_lines.mine(_corpus(spark, sf_dir))
     return mined.patterns.groupBy("length").agg(F.count(F.lit(1)).alias("patterns"), F.max("docs").alias("most_docs"))
 
@@ -71,6 +76,14 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(links).withColumnRenamed("id", "corpus_id")
 
 
+def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What finding the pairs of p3_found took: trees, the least recall of pairs right at the threshold, records with longer prefixes, linked pairs of classes."""
+    links = near_duplicates.link(_corpus(spark, sf_dir), "corpus_id", _article_text(), threshold=0.5, shingle=3)
+    classes = links.members.agg(F.count(F.lit(1)).alias("records"), F.count_distinct("rep").alias("classes"))
+    crowded, pairs = links.crowded.agg(F.count(F.lit(1)).alias("crowded")), links.pairs.agg(F.count(F.lit(1)).alias("pairs"))
+    return classes.crossJoin(crowded).crossJoin(pairs).select("*", F.lit(links.trees).alias("trees"), F.lit(round(links.recall, 6)).alias("least_recall"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every page that are not part of its article."""
     return page_body.furniture(_corpus(spark, sf_dir))
@@ -143,4 +156,4 @@ def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.with_canonical(documents, "doc_id", "text", members).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_cleaned, p2_patterns, p3_found, p3_groups, p4_found, p4_articles, p5_found, p5_counts, p5_idf, p6_pack, p6_fill, p7_found, p7_items, p8_found, p8_canonical)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_cleaned, p2_sequences, p2_patterns, p3_found, p3_groups, p3_recall, p4_found, p4_articles, p5_found, p5_counts, p5_idf, p6_pack, p6_fill, p7_found, p7_items, p8_found, p8_canonical)}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Characters that are hashed in one go; a longer text is cut between words.
+#: Characters that are hashed in one go; a longer text is cut between words, a longer word is summed part by part.
 CHUNK = 1 << 18
 
 _U = np.uint64
@@ -42,27 +42,40 @@ def word_flags(points: np.ndarray) -> np.ndarray:
     return _table("word")[points]
 
 
+def _values(points: np.ndarray) -> np.ndarray:
+    return mix(points.astype(_U) + _U(0x1D8E4E27C47D124F)) * _table("up")[: len(points)]
+
+
 def _hash_points(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and starts of the words among at most 2 * CHUNK code points."""
     is_word = word_flags(points)
     edge = np.flatnonzero(np.diff(np.concatenate(([False], is_word, [False])).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    value = mix(points.astype(_U) + _U(0x1D8E4E27C47D124F)) * _table("up")[: len(points)]
     sums = np.zeros(len(points) + 1, dtype=_U)
-    np.cumsum(value, out=sums[1:])
+    np.cumsum(_values(points), out=sums[1:])
     return mix((sums[ends] - sums[starts]) * _table("down")[starts] + (ends - starts).astype(_U)), starts
 
 
+def _long_word(word: str) -> np.ndarray:
+    """The hash of one word of any length: that which _hash_points gives it, from the sums of its parts."""
+    total, scale, step = 0, 1, pow(_BASE, CHUNK, 1 << 64)
+    for i in range(0, len(word), CHUNK):
+        points = np.frombuffer(word[i : i + CHUNK].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        total, scale = (total + int(_values(points).sum(dtype=_U)) * scale) % (1 << 64), scale * step % (1 << 64)
+    return mix(np.array([total], dtype=_U) + _U(len(word)))
+
+
 def _pieces(text: str) -> list[str]:
-    """A long text in parts of about CHUNK characters, cut before a character that is no part of a word; a longer word is cut hard."""
+    """A long text in parts cut between words: of about CHUNK characters, or one longer word."""
     out, at = [], 0
     while at < len(text):
         end = min(len(text), at + CHUNK)
-        if end < len(text):
-            cut = end
-            while cut > at + 1 and text[cut].isalnum():
-                cut -= 1
-            end = cut if cut > at + 1 else end
+        while at < end < len(text) and text[end].isalnum() and text[end - 1].isalnum():
+            end -= 1
+        if end == at:  # a word that is longer than a part
+            end = at + CHUNK
+            while end < len(text) and text[end].isalnum():
+                end += 1
         out.append(text[at:end])
         at = end
     return out
@@ -94,6 +107,10 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for piece in [low] if len(low) <= CHUNK else _pieces(low):
             if size + len(piece) + 1 > CHUNK:
                 flush()
+            if len(piece) > CHUNK:
+                hashes.append(_long_word(piece))
+                counts[i] += 1
+                continue
             group.append(piece)
             owners.append(i)
             size += len(piece) + 1

@@ -98,19 +98,49 @@ def test_repeated_lines_equal_a_model(spark):
             assert clean[i]["clean_body"] == "\n".join(x for no, x in enumerate(b.split("\n"), 1) if (i, no) not in gone)
 
 
+def sequences_model(rows, least, gap):
+    """Support of every line sequence with at most gap frequent lines between two of its lines; rows are of one site."""
+    key = lambda x: "".join(c for c in x.lower() if c.isalpha())
+    n = Counter(k for _, _, b in rows for k in {key(x) for x in b.split("\n")} if k)
+    support = defaultdict(set)
+    for i, _, b in rows:
+        page = [key(x) for x in b.split("\n") if n[key(x)] >= least and key(x)]
+        ends = {((k,), at) for at, k in enumerate(page)}
+        while ends:
+            for p, _ in ends:
+                support[p].add(i)
+            ends = {((*p, page[x]), x) for p, at in ends for x in range(at + 1, min(at + gap + 2, len(page)))}
+    return {p: len(v) for p, v in support.items() if len(v) >= least}
+
+
+def test_sequences_with_gaps_equal_a_model(spark):
+    rng = random.Random(11)
+    lines = [f"line {'abcdefg'[i]}" for i in range(7)]
+    rows = [(i, "https://s.example/x", "\n".join([x for x in lines if rng.random() < 0.7] + [f"own {'abcdefghijklmnopqrstuvwxyz'[i]}"])) for i in range(26)]
+    for gap in (0, 1):
+        mined = repeated_lines.mine(corpus(spark, rows), 4, 4, gap)
+        want = sequences_model(rows, 4, gap)
+        # a few of the rarest are absorbed by longer ones of the same pages; all others come out
+        got, all_ = Counter((r["length"], r["docs"]) for r in mined.patterns.collect()), Counter((len(p), n) for p, n in want.items())
+        assert not got - all_ and sum((all_ - got).values()) <= 0.1 * len(want) and all(n < 9 for _, n in all_ - got) and (gap == 0 or max(k for k, _ in got) > 4)
+
+
 def test_sequences_need_less_support_than_lines(spark):
-    rows = [(i, "https://s.example/x", f"alpha\nbeta\nown {'abcdefghij'[i]}" if i < 4 else f"alpha\nown {'abcdefghij'[i]}") for i in range(6)]
+    # one other line may stand between the two; single lines alone would delete nothing
+    rows = [(i, "https://s.example/x", f"alpha\n{'gamma' if i % 2 else 'own ' + 'abcdefghij'[i]}\nbeta" if i < 4 else f"alpha\nown {'abcdefghij'[i]}") for i in range(6)]
     mined = repeated_lines.mine(corpus(spark, rows), 7, 3)
-    assert pairs(repeated_lines.repeated_places(mined)) == {(i, n) for i in range(4) for n in (1, 2)}
+    assert pairs(repeated_lines.repeated_places(mined)) == {(i, n) for i in range(4) for n in (1, 3)}
+    assert pairs(repeated_lines.repeated_places(repeated_lines.mine(corpus(spark, rows), 7, 7))) == set()
 
 
 def test_sequences_of_any_length(spark):
-    line = lambda n: f"line {'abcdefghijkl'[n]}"
-    rows = [(i, "https://s.example/x", "\n".join(["own " + "xyzuvw"[i]] + [line(n) for n in range(12)][: 12 - 3 * (i > 3)])) for i in range(6)]
-    got = {}
-    for r in repeated_lines.mine(corpus(spark, rows), 4, 4).patterns.collect():
-        got.setdefault(r["length"], []).append(r["docs"])
-    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(6 if n + k <= 9 else 4 for n in range(13 - k)) for k in range(1, 13)}
+    line = lambda n: f"line {'abcdefghijklmnopqrstuvwxyz'[n]}"
+    rows = [(i, "https://s.example/x", "\n".join(["own " + "xyzuvw"[i]] + [line(n) for n in range(20)][: 20 - 8 * (i > 3)])) for i in range(6)]
+    mined = repeated_lines.mine(corpus(spark, rows), 4, 4)
+    # what always stands together grows as one sequence, not as all its parts
+    got = {r["length"]: r["docs"] for r in mined.patterns.filter("length > 1").collect()}
+    assert got == {k: 6 if k <= 12 else 4 for k in range(2, 21)} and mined.patterns.filter("length > 1").count() < 30
+    assert pairs(repeated_lines.repeated_places(mined)) == {(i, n + 2) for i in range(6) for n in range(20 - 8 * (i > 3))}
 
 
 def test_no_lines_at_all(spark):
@@ -208,6 +238,32 @@ def test_classes_by_shuffle_equal_classes_by_broadcast(spark, monkeypatch):
     assert pairs(lookalikes.alike_pairs(lookalikes.classes(texts, "id", "text"))) == alike and len(alike) > 100
 
 
+def test_crowded_nodes_keep_the_recall(spark, monkeypatch):
+    rng = random.Random(12)
+    shared = [f"s{j}" for j in range(60)]  # half of every text is the same, so that nodes are crowded
+    rows = []
+    for i in range(150):
+        own = [f"o{i // 2}x{j}" for j in range(60)]
+        if i % 2:
+            at = rng.randrange(40)
+            own[at : at + 14] = [f"p{i}y{j}" for j in range(14)]
+        rows.append((i, " ".join(shared + own)))
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    want = jaccard_model(rows, 3, 0.6)
+    monkeypatch.setattr(near_duplicates, "CROWD", 20)
+    links = near_duplicates.link(df, "id", F.col("text"), 0.6, 3)
+    got, crowded = pairs(near_duplicates.record_pairs(links, 3)), links.crowded.collect()
+    assert got <= want and len(got) >= 0.995 * len(want) >= 60
+    assert crowded and all(r["recall"] >= 0.995 for r in crowded) and 0.995 <= links.recall <= min(r["recall"] for r in crowded)
+    # a target that longer prefixes can't meet shortens all of them again
+    monkeypatch.setattr(near_duplicates, "trees_for", lambda threshold, target: 40)
+    links = near_duplicates.link(df, "id", F.col("text"), 0.6, 3, target=0.99)
+    assert len(pairs(near_duplicates.record_pairs(links, 3)) & want) >= 0.99 * len(want) and links.recall >= 0.99
+    monkeypatch.setattr(near_duplicates, "trees_for", lambda threshold, target: 25)
+    with pytest.raises(ValueError, match="recall"):
+        near_duplicates.link(df, "id", F.col("text"), 0.6, 3)
+
+
 def test_near_duplicates_of_nothing(spark):
     links = near_duplicates.link(spark.createDataFrame([], "id bigint, text string"), "id", F.col("text"))
     assert near_duplicates.record_pairs(links, 5).count() == 0 and near_duplicates.groups(links).count() == 0
@@ -432,11 +488,31 @@ def test_edits_within_the_budget_are_found(spark):
     assert {r["id"]: r["distance"] for r in got.collect()} == {0: 0, 1: 1, 2: 2, 4: 1}
 
 
-def test_passages_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 1)
-    items = [(i, " ".join(f"v{i}x{j}" for j in range(12))) for i in range(3)]
-    df = spark.createDataFrame([(i, p) for i, p in items], "id bigint, text string")
-    assert pairs(leakage.leaks(df, "id", "text", spark.createDataFrame(items, "item_id bigint, passage string")).select("id", "item_id")) == {(0, 0), (1, 1), (2, 2)}
+def test_recall_of_edited_passages(spark):
+    rng = random.Random(21)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(12))) for i in range(200)]
+    docs = []
+    for i, p in items:
+        w = p.split()
+        for _ in range(i % 3):
+            at, kind = rng.randrange(len(w)), rng.choice("pcd")
+            w[at : at + (kind != "p")] = [] if kind == "d" else [f"x{rng.randrange(10**9)}"]
+        docs.append((i, " ".join([f"a{j}" for j in range(rng.randrange(9))] + w + ["z"] * rng.randrange(9))))
+    got = leakage.leaks(spark.createDataFrame(docs, "id bigint, text string"), "id", "text", spark.createDataFrame(items, "item_id bigint, passage string"))
+    found = {r["id"]: r["distance"] for r in got.collect() if r["id"] == r["item_id"]}
+    assert set(found) == {i for i, _ in items} and all(found[i] <= i % 3 for i in found)
+
+
+def test_common_pieces_in_blocks(spark, monkeypatch):
+    from gleanwell.operators import skew
+
+    monkeypatch.setattr(skew, "BLOCK", 5)
+    monkeypatch.setattr(leakage, "FILTER_BITS", 64)  # a full filter only lets more through
+    p = " ".join(f"v{j}" for j in range(12))
+    items = [(i, p) for i in range(30)] + [(99, " ".join(f"u{j}" for j in range(12)))]
+    df = spark.createDataFrame([(i, f"x {p} y") for i in range(20)] + [(50, "v0 v1 v2 v3 other words")], "id bigint, text string")
+    got = leakage.leaks(df, "id", "text", spark.createDataFrame(items, "item_id bigint, passage string"))
+    assert pairs(got) == {(d, i, 0) for d in range(20) for i in range(30)}
 
 
 # --- 8

@@ -25,8 +25,23 @@ def test_long_texts_are_whole():
     h, at = words.word_hashes(["a b", text, ""])
     again, _ = words.word_hashes(["wört79999 b"])
     assert list(np.diff(at)) == [2, 80_000, 0] and h[at[2] - 1] == again[0] and h[1] == again[1]
-    one, _ = words.word_hashes(["x" * (words.CHUNK * 2 + 5)])
-    assert len(one) >= 1
+
+
+def test_long_words_are_whole():
+    long, other = "x" * 300_000, "é" * (words.CHUNK * 2 + 5)
+    texts = [f"a {long}, b {other} c", long.upper(), f"{other}", long + "y", "a c"]
+    h, at = words.word_hashes(texts)
+    assert list(np.diff(at)) == [5, 1, 1, 1, 2]
+    assert h[1] == h[5] != h[7] and h[3] == h[6] and h[0] == h[8] and h[4] == h[9]
+
+
+def test_parts_of_any_size_give_one_hash(monkeypatch):
+    texts = [f"w{i} and {'q' * (i % 50)}." for i in range(200)]
+    want = words.word_hashes(texts)
+    monkeypatch.setattr(words, "CHUNK", 16)
+    monkeypatch.setattr(words, "_tables", {})
+    got = words.word_hashes(texts)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
 
 
 def test_shingles_stay_within_texts():
