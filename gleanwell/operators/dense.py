@@ -1,19 +1,21 @@
-"""Exact dense top-k: blocks of query vectors against all vectors, one matrix product per Arrow batch."""
+"""Exact dense top-k: blocks of query vectors against parts of all vectors, one matrix product for each."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import top
+from .blocks import topk
+
 
-#: Query vectors that one pass over the vectors takes; more take more passes.
-BLOCK = 1_000
+def check_dimension(vectors: DataFrame, column: str, size: int | None = None) -> int:
+    """The one length of all vectors that are not null, 0 without any; other lengths, or another than size, raise."""
+    sizes = vectors.filter(F.col(column).isNotNull()).agg(F.min(F.size(column)), F.max(F.size(column))).first()
+    if sizes[0] != sizes[1] or size is not None and sizes[0] is not None and sizes[0] != size:
+        raise ValueError(f"vectors of {sizes[0]} to {sizes[1]} places, expected {size or 'one length'}")
+    return sizes[0] or 0
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -21,25 +23,11 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm > 0, norm, 1.0)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
-def _best_batches(shared, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            scores = np.round(matrix @ _unit(_matrix(batch.column(1))).T, 6)
-            keys = np.asarray(batch.column(0).cast(pa.int64()))
-            m = min(k, len(keys))
-            # ties at the cut all stay; the ranking afterwards settles them by id
-            floor = np.partition(scores, len(keys) - m, axis=1)[:, len(keys) - m]
-            q, v = np.nonzero(scores >= floor[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(keys[v]), pa.array(scores[q, v])], names=["qid", "vec_id", "score"])
-
-    return run
+def _cosines(rows: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
+    a, b = (_unit(np.stack(x["vector"].to_numpy()).astype(np.float64)) for x in (rows, queries))
+    scores = np.round(b @ a.T, 6)
+    scores[queries["qid"].to_numpy()[:, None] == rows["vec_id"].to_numpy()[None, :]] = -np.inf
+    return scores
 
 
 def dense_topk(vectors: DataFrame, key: str, column: str, queries: DataFrame, k: int) -> DataFrame:
@@ -47,19 +35,6 @@ def dense_topk(vectors: DataFrame, key: str, column: str, queries: DataFrame, k:
 
     Null vectors take no part; all must have one length. Scores are rounded to 6 places before ranking.
     """
-    spark = vectors.sparkSession
-    asked = queries.filter(F.col("vector").isNotNull())
-    blocks = max(1, math.ceil(asked.count() / BLOCK))
-    rows = vectors.select(F.col(key).cast("bigint").alias("vec_id"), column).filter(F.col(column).isNotNull())
-    out = None
-    for b in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", "vector").collect()
-        matrix = _unit(np.array([r[1] for r in block], dtype=np.float64)) if block else np.zeros((0, 0))
-        if not block:
-            continue
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in block], dtype=np.int64), matrix))
-        found = rows.mapInArrow(_best_batches(shared, k + 1), "qid bigint, vec_id bigint, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "qid bigint, vec_id bigint, score double")
-    return top(out.filter(F.col("qid") != F.col("vec_id")), ["qid"], [F.desc("score"), F.col("vec_id")], k)
+    rows = vectors.select(F.col(key).cast("bigint").alias("vec_id"), F.col(column).alias("vector")).filter("vector IS NOT NULL AND vec_id IS NOT NULL")
+    asked = queries.select(F.col("qid").cast("bigint").alias("qid"), "vector").filter("vector IS NOT NULL")
+    return topk(rows, "vec_id", "bigint", asked, _cosines, k, lambda: [F.desc("score"), F.col("vec_id")])

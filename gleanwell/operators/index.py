@@ -1,19 +1,27 @@
-"""Inverted index and BM25 over it."""
+"""A stored index of documents and BM25 over it."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..runtime import broadcast_if_small, materialise
-from .ranking import top
+from .blocks import topk
 
 K1, B = 1.2, 0.75
-#: Terms in more than this share of the documents only finish scores; they find no candidates unless a question needs them.
-COMMON = 0.3
+#: Entries of the matrix that scoring holds at once.
+CELLS = 4_000_000
+_WORD = re.compile(r"[^\W_]+")
 
 
 def doc_lengths(docs: DataFrame, key: str, text: Column) -> DataFrame:
@@ -33,22 +41,58 @@ def term_stats(post: DataFrame) -> DataFrame:
 
 
 class Index(NamedTuple):
-    """postings: (term, doc, tf, words); stats: (term, idf, common), both for the asked terms alone; mean: words of a document."""
+    """docs: (doc, words, terms, tfs), one row per document; stats: (term, df); size: documents; mean: words of a document."""
 
-    postings: DataFrame
+    docs: DataFrame
     stats: DataFrame
+    size: int
     mean: float
 
 
-def build(docs: DataFrame, key: str, text: Column, terms: DataFrame) -> Index:
-    """The index of docs for terms(term); document frequencies, lengths and their mean count all documents. Written to the shared folder."""
-    n, mean = doc_lengths(docs, key, text).agg(F.count(F.lit(1)), F.avg("words")).first()
-    rows = postings(docs, key, text)
-    asked = materialise(terms.select("term").distinct(), "terms")
-    post = materialise(rows.join(broadcast_if_small(asked, asked.count()), "term", "left_semi"), "postings")
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    stats = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf.alias("idf"), (F.col("df") > COMMON * n).alias("common"))
-    return Index(post, materialise(stats, "idf"), float(mean or 0.0))
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lengths, terms, tfs, at = [], [], [], [0]
+        for text in batch.column(1).to_pylist():
+            found = Counter(_WORD.findall((text or "").lower()))
+            lengths.append(found.total())
+            terms.extend(found)
+            tfs.extend(found.values())
+            at.append(len(terms))
+        at = pa.array(at, pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(at, pa.array(terms, pa.string())), pa.ListArray.from_arrays(at, pa.array(tfs, pa.int32()))], names=["doc", "words", "terms", "tfs"])
+
+
+def build(docs: DataFrame, key: str, text: Column) -> Index:
+    """The index of docs, each tokenised once; null texts have no words. Written to the shared folder."""
+    rows = docs.select(F.col(key).alias("doc"), text.alias("text"))
+    return _described(materialise(rows.mapInArrow(_count_batches, f"doc {rows.dtypes[0][1]}, words int, terms array<string>, tfs array<int>"), "index"))
+
+
+def _described(docs: DataFrame) -> Index:
+    size, mean = docs.agg(F.count(F.lit(1)), F.avg("words")).first()
+    stats = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return Index(docs, stats, size, float(mean or 0.0))
+
+
+def store(ix: Index, path: str) -> None:
+    """Write an index to path, in place of what is there."""
+    ix.docs.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/docs")
+    ix.stats.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/stats")
+
+
+def reopen(spark: SparkSession, path: str) -> Index:
+    """The index that store wrote."""
+    ix = _described(spark.read.parquet(f"{path}/docs"))
+    return ix._replace(stats=spark.read.parquet(f"{path}/stats"))
+
+
+def check(ix: Index, expected: DataFrame, key: str) -> int:
+    """The number of documents, if the index has exactly those of expected, each once; else it raises."""
+    ids = expected.select(F.col(key).alias("doc")).filter("doc IS NOT NULL").distinct()
+    lacking, extra, twice = missing(ids, ix.docs, "doc").count(), missing(ix.docs, ids, "doc").count(), ix.size - ix.docs.select("doc").distinct().count()
+    if lacking or extra or twice:
+        raise ValueError(f"the index lacks {lacking} documents, has {extra} that are none and {twice} twice")
+    return ix.size
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -56,32 +100,49 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
 
 
+def _bm25_scores(mean: float):
+    def score(rows: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
+        asked = [np.asarray(t) for t in queries["terms"]]
+        vocabulary, place = np.unique(np.concatenate(asked), return_inverse=True)
+        weights = np.zeros((len(vocabulary), len(queries)))
+        weights[place, np.repeat(np.arange(len(queries)), [len(t) for t in asked])] = np.concatenate([np.asarray(w) for w in queries["idf"]])
+        values = pa.array(vocabulary, pa.string())
+        out = np.empty((len(queries), len(rows)))
+        step = max(1, CELLS // max(1, len(vocabulary)))
+        for lo in range(0, len(rows), step):
+            part = rows.iloc[lo : lo + step]
+            sizes = [len(t) for t in part["terms"]]
+            flat = np.concatenate(part["terms"].to_numpy()) if sum(sizes) else np.zeros(0, dtype=object)
+            term = pa.compute.index_in(pa.array(flat, pa.string()), value_set=values).fill_null(-1).to_numpy()
+            doc, tf = np.repeat(np.arange(len(part)), sizes), np.concatenate(part["tfs"].to_numpy()).astype(np.float64) if sum(sizes) else np.zeros(0)
+            known = term >= 0
+            matrix = np.zeros((len(part), len(vocabulary)))
+            long = K1 * (1 - B + B * part["words"].to_numpy() / mean)
+            matrix[doc[known], term[known]] = tf[known] * (K1 + 1) / (tf[known] + long[doc[known]])
+            out[:, lo : lo + step] = (matrix @ weights).T
+        return np.where(out > 0, np.round(out, 6), -np.inf)
+
+    return score
+
+
 def search(ix: Index, asked: DataFrame, k: int) -> DataFrame:
     """(qid, doc, score, rank): the k best documents for each question of asked(qid, term), ties by doc; scores are rounded to 6 places.
 
-    Words in many documents match most of them and add little. They are left to the end: a question's rarer words find candidates
-    and a floor for its k-th score; documents that can't reach it even with all frequent words are dropped, the others get the
-    frequent words' part. A question whose frequent words alone could reach the floor is scored with all its words.
+    Exact: every document is scored against every question in one pass over the index, part by part. A question of whose words no
+    document has any finds nothing.
     """
-    post = ix.postings
-    known = materialise(asked.join(ix.stats, "term"), "known")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / F.lit(ix.mean)))
-    rare = materialise(known.filter(~F.col("common")).join(post, "term").groupBy("qid", "doc").agg(F.sum(part).alias("part")), "rare")
-    rest = known.groupBy("qid").agg(F.coalesce(F.sum(F.when(F.col("common"), F.col("idf") * (K1 + 1))), F.lit(0.0)).alias("rest"))
-    floor = top(rare, ["qid"], [F.desc("part")], k).groupBy("qid").agg(F.when(F.count(F.lit(1)) == k, F.min("part")).alias("floor"))
-    bounds = materialise(rest.join(floor, "qid", "left").withColumn("whole", F.col("floor").isNull() | (F.col("rest") + 1e-6 >= F.col("floor"))), "bounds")
-    alive = rare.join(bounds.filter("NOT whole"), "qid").filter(F.col("part") + F.col("rest") + 1e-6 >= F.col("floor")).select("qid", "doc", "part")
-    common = known.filter("common").join(bounds.filter("NOT whole").select("qid"), "qid", "left_semi")
-    more = alive.join(common, "qid").join(post, ["term", "doc"]).select("qid", "doc", part.alias("part"))
-    whole = known.join(bounds.filter("whole").select("qid"), "qid", "left_semi").join(post, "term").select("qid", "doc", part.alias("part"))
-    scores = alive.unionByName(more).unionByName(whole).groupBy("qid", "doc").agg(F.round(F.sum("part"), 6).alias("score"))
-    return top(scores, ["qid"], [F.desc("score"), F.col("doc")], k)
+    terms = materialise(asked.filter("term IS NOT NULL").select("qid", "term").distinct(), "asked")
+    wanted = terms.select("term").distinct()
+    known = ix.stats.join(broadcast_if_small(wanted, wanted.count()), "term", "left_semi")
+    idf = F.log((ix.size - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weighted = terms.join(known.select("term", idf.alias("idf")), "term").groupBy("qid").agg(F.collect_list(F.struct("term", "idf")).alias("t"))
+    queries = materialise(weighted.select("qid", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf")), "questions")
+    return topk(ix.docs, "doc", dict(ix.docs.dtypes)["doc"], queries, _bm25_scores(ix.mean or 1.0), k, lambda: [F.desc("score"), F.col("doc")])
 
 
 def bm25(docs: DataFrame, key: str, text: Column, queries: DataFrame, k: int) -> DataFrame:
     """build and search in one: the k best documents for each of queries(qid, query)."""
-    asked = materialise(query_terms(queries), "asked")
-    return search(build(docs, key, text, asked), asked, k)
+    return search(build(docs, key, text), query_terms(queries), k)
 
 
 def missing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -75,7 +75,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def multi_hop(spark: SparkSession, d: str) -> DataFrame:
     """How up to three hops of search ended for every question whose id is divisible by 50."""
-    t = loop.multi_hop(_article(spark, d), "corpus_id", F.col("text"), _asked(spark, d)).traces
+    t = loop.multi_hop(index.build(_article(spark, d), "corpus_id", F.col("text")), _asked(spark, d)).traces
     return t.groupBy("reason", "hops").agg(F.count(F.lit(1)).alias("questions"), F.sum("docs").alias("docs"), F.round(F.avg("covered"), 6).alias("covered"))
 
 

@@ -224,11 +224,50 @@ def test_hops_stop_for_their_reasons(spark):
     docs = [(1, "alpha beta"), (2, "gamma delta"), (3, "alpha"), (4, "epsilon " * 3)]
     queries = [("both", "alpha beta gamma delta"), ("one", "alpha beta"), ("half", "epsilon zeta eta"), ("none", "zeta"), ("null", None)]
     d, q = spark.createDataFrame(docs, "id int, t string"), spark.createDataFrame(queries, "qid string, query string")
-    h = loop.multi_hop(d, "id", F.col("t"), q, hops=3, k=1)
-    assert rows(h.traces.select("qid", "hops", "docs", "reason")) == [("both", 2, 2, "sufficient"), ("half", 2, 1, "nothing_new"), ("one", 1, 1, "sufficient")]
+    ix = index.build(d, "id", F.col("t"))
+    h = loop.multi_hop(ix, q, hops=4, k=1)
+    assert rows(h.traces.select("qid", "hops", "docs", "reason")) == [
+        ("both", 2, 2, "evidence_sufficient"), ("half", 2, 1, "duplicate_query"), ("none", 1, 0, "duplicate_query"), ("null", 0, 0, "no_words"), ("one", 1, 1, "evidence_sufficient"),
+    ]
     assert rows(h.evidence.select("qid", "hop", "doc"))[:2] == [("both", 1, 2), ("both", 2, 1)]  # the rarer words first
-    short = loop.multi_hop(d, "id", F.col("t"), q.filter("qid = 'both'"), hops=1, k=1).traces.first()
+    short = loop.multi_hop(ix, q.filter("qid = 'both'"), hops=1, k=1).traces.first()
     assert (short["reason"], short["covered"]) == ("max_hops", 0.5)
+    assert loop.multi_hop(ix, q.filter("qid = 'both'"), k=2, budget=2).traces.first()["reason"] == "token_budget"
+    assert rows(loop.multi_hop(ix, q.filter("qid = 'both'"), k=3, cap=1).evidence.select("doc")) == [(2,)]
+
+
+def test_search_and_controller_can_be_given(spark):
+    q = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z"), ("e", "w")], "qid string, query string")
+    searcher = lambda asked: asked.select("qid", F.lit(1).alias("doc"), F.lit(1).alias("rank"), F.lit(5).alias("tokens"))
+
+    def control(state, held):
+        said = F.when(F.col("qid") == "a", True).when(F.col("qid") != "c", False)  # null is a failure
+        return state.select("qid", said.alias("sufficient"), F.when(F.col("qid") == "b", "  Y ").otherwise(" ").alias("next_query"), F.lit(0.5).alias("covered"))
+
+    h = loop.run(searcher, control, q, first=searcher(q).withColumn("doc", F.lit(9)))
+    assert rows(h.traces.select("qid", "hops", "reason")) == [("a", 1, "evidence_sufficient"), ("b", 1, "duplicate_query"), ("c", 1, "controller_failure"), ("e", 1, "controller_failure")]
+    assert rows(h.evidence.select("doc").distinct()) == [(9,)]
+
+
+def test_an_index_is_stored_checked_and_searched_in_parts(spark, tmp_path, monkeypatch):
+    from gleanwell.operators import blocks
+
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choices([f"w{j}" for j in range(30)], k=rng.randint(0, 12)))) for i in range(80)] + [(90, None)]
+    d = spark.createDataFrame(docs, "id bigint, t string")
+    q = spark.createDataFrame([(i, " ".join(rng.choices([f"w{j}" for j in range(30)], k=3))) for i in range(15)], "qid bigint, query string")
+    ix = index.build(d, "id", F.col("t"))
+    want = rows(index.search(ix, index.query_terms(q), 4))
+    index.store(ix, str(tmp_path / "ix"))
+    again = index.reopen(spark, str(tmp_path / "ix"))
+    monkeypatch.setattr(blocks, "ROWS", 7)
+    monkeypatch.setattr(blocks, "QUERIES", 4)
+    monkeypatch.setattr(index, "CELLS", 50)
+    assert rows(index.search(again, index.query_terms(q), 4)) == want and index.check(again, d, "id") == 81
+    with pytest.raises(ValueError, match="lacks 0 documents, has 1"):
+        index.check(again, d.filter("id < 90"), "id")
+    with pytest.raises(ValueError, match="places"):
+        dense.check_dimension(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id int, v array<double>"), "v")
 
 
 def test_hot_keys_meet_in_blocks(spark):
