@@ -75,17 +75,18 @@ def self_pairs(rows: DataFrame, keys: list[str], id_col: str, n: str, condition:
     return met.alias("x").join(met.alias("y"), on if condition is None else on & condition)
 
 
-def join_split(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, size: int | None = None) -> DataFrame:
-    """Inner join on key in which no piece of work has more than about size rows of a key from either side.
+def join_split(left: DataFrame, right: DataFrame, key: str | list[str], left_id: str, right_id: str, size: int | None = None) -> DataFrame:
+    """Inner join on key, one column or several, in which no piece of work has more than about size rows of a key from either side.
 
     Both sides are counted by key first; the rows of a key are dealt into blocks by the hash of their ids, and each block of one side
     meets each of the other. left and right are read twice, so they should be tables. Null keys match nothing.
     """
     size = size or BLOCK
-    counts = [side.groupBy(key).agg(F.count(F.lit(1)).alias(name)) for side, name in ((left, "__nl"), (right, "__nr"))]
-    sizes = materialise(counts[0].join(counts[1], key).withColumn("__n", F.col("__nl") + F.col("__nr")), "sizes")
+    keys = [key] if isinstance(key, str) else key
+    counts = [side.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)) for side, name in ((left, "__nl"), (right, "__nr"))]
+    sizes = materialise(counts[0].join(counts[1], keys).withColumn("__n", F.col("__nl") + F.col("__nr")), "sizes")
     rows, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("__n"), F.lit(0))).first()
-    a, b = (join_counted(side, sizes, [key], "__n", rows, total).drop("__n") for side in (left, right))
+    a, b = (join_counted(side, sizes, keys, "__n", rows, total).drop("__n") for side in (left, right))
     a = a.withColumn("__a", _block(left_id, F.col("__nl"), size)).withColumn("__b", _each_block(F.col("__nr"), size)).drop("__nl", "__nr")
     b = b.withColumn("__b", _block(right_id, F.col("__nr"), size)).withColumn("__a", _each_block(F.col("__nl"), size)).drop("__nl", "__nr")
-    return a.join(b, [key, "__a", "__b"]).drop("__a", "__b")
+    return a.join(b, [*keys, "__a", "__b"]).drop("__a", "__b")
