@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.skew import join_counted
+from ..operators.skew import join_counted, join_split, self_pairs
 from ..runtime import BROADCAST_ROWS, materialise
 
-# Letters of other scripts that fonts draw like Latin ones, and the Latin letters.
+# Letters and marks of other scripts that fonts draw like Latin ones, and the Latin ones.
 LOOKALIKES = {
     "аеорсухіѕјһԁԛԝӏ": "aeopcyxisjhdqwl",  # Cyrillic, small
     "АВЕКМНОРСТХІЅЈҮԌԚԜӀ": "ABEKMHOPCTXISJYGQWI",  # Cyrillic, capital
@@ -27,7 +27,10 @@ LOOKALIKES = {
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ": "ABEZHIKMNOPTYX",  # Greek, capital
     "օհոսցզՕՍ": "ohnugqOU",  # Armenian
     "ɑɡ": "ag",  # phonetic
-    "‐‑․": "--.",  # punctuation
+    "ⲟⲣⲥⲞⲢⲤⲀⲂⲎⲒⲔⲘⲚⲦⲬ": "opcOPCABHIKMNTX",  # Coptic
+    "ᎠᎡᎢᎩᎪᎫᎬᎳᎷᎻᏀᏃᏚᏞᏟᏢᏦᏴ": "DRTYAJEWMHGZSLCPKB",  # Cherokee
+    "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ": "BPDTGKJCZFMNLSRVHWXYAEIOU",  # Lisu
+    "‐‑․−⁄∕꞉∶ʼǃ‚∣ǀ∗": "--.-//::'!,||*",  # punctuation
 }
 # Ranges that are not shown though their category is no format character's.
 INVISIBLE = [(0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF)]
@@ -94,7 +97,7 @@ def classes(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
     named = materialise(distinct.select("k1", "k2", "rows", F.min("id").over(alike).alias("cls")), "classes")
     members = join_counted(keyed.drop("form"), named, ["k1", "k2"], "rows", n, total).select("id", "cls", "changed", "t1", "t2")
     best = materialise(members.groupBy("cls").agg(F.min(F.struct("changed", "id")).alias("best"), F.count(F.lit(1)).alias("rows")).select("cls", "rows", F.col("best.id").alias("canonical")), "canonical")
-    return join_counted(members, best, ["cls"], "rows", best.count(), total).select("id", "cls", "canonical", "changed", "t1", "t2")
+    return materialise(join_counted(members, best, ["cls"], "rows", best.count(), total).select("id", "cls", "canonical", "changed", "t1", "t2"), "members")
 
 
 def alike_pairs(members: DataFrame) -> DataFrame:
@@ -102,13 +105,15 @@ def alike_pairs(members: DataFrame) -> DataFrame:
 
     Stored texts of a class are paired first, so copies of one text are never compared with each other, however many there are.
     """
-    texts = materialise(members.groupBy("cls", "t1", "t2").agg(F.count(F.lit(1)).alias("rows")), "texts")
-    x, y = texts.alias("x"), texts.alias("y")
-    ahead = (F.col("x.t1") < F.col("y.t1")) | ((F.col("x.t1") == F.col("y.t1")) & (F.col("x.t2") < F.col("y.t2")))
-    met = x.join(y, (F.col("x.cls") == F.col("y.cls")) & ahead).select("x.cls", *[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "xy" for c in ("t1", "t2")])
+    texts = members.groupBy("cls", "t1", "t2").agg(F.min("id").alias("first"))
+    texts = materialise(texts, "texts")
+    sizes = materialise(texts.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    n, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    texts = materialise(join_counted(texts, sizes, ["cls"], "n", n, total), "several")
+    met = self_pairs(texts, ["cls"], "first", "n").select("x.cls", *[F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "xy" for c in ("t1", "t2", "first")])
     for s in "xy":
         side = members.select("cls", F.col("t1").alias(f"{s}t1"), F.col("t2").alias(f"{s}t2"), F.col("id").alias(s))
-        met = met.join(side, ["cls", f"{s}t1", f"{s}t2"])
+        met = join_split(materialise(met, "met"), side, ["cls", f"{s}t1", f"{s}t2"], "xfirst" if s == "x" else "x", s)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 

@@ -32,8 +32,8 @@ _CELLS = r"""
 pop AS (SELECT DISTINCT qa_id, regexp_replace(lower(question_type), '[\s_\-]+', '', 'g') AS k, hop_count FROM phase9_holdout_report
   WHERE qa_id IS NOT NULL AND hop_count IS NOT NULL AND regexp_replace(lower(question_type), '[\s_\-]+', '', 'g') <> ''),
 sizes AS (SELECT k, hop_count, count(*) AS n FROM pop GROUP BY ALL),
-cells AS (SELECT t.plan_id, t.question_type, t.hop_count, regexp_replace(lower(t.question_type), '[\s_\-]+', '', 'g') AS k, t.target_share, t.min_rows, p.sample_size,
-  greatest(CAST(t.min_rows AS BIGINT), CAST(round(t.target_share * p.sample_size) AS BIGINT)) AS needed FROM sample_targets t JOIN sample_plans p USING (plan_id))
+cells AS (SELECT t.plan_id, t.question_type, t.hop_count, regexp_replace(lower(t.question_type), '[\s_\-]+', '', 'g') AS k, t.target_share / sum(t.target_share) OVER (PARTITION BY t.plan_id) AS target_share, t.min_rows, p.sample_size,
+  greatest(CAST(t.min_rows AS BIGINT), CAST(ceil(round(t.target_share / sum(t.target_share) OVER (PARTITION BY t.plan_id) * p.sample_size, 6)) AS BIGINT)) AS needed FROM sample_targets t JOIN sample_plans p USING (plan_id))
 """
 ORACLES |= {
     "p1_found": f"""WITH {_CELLS} SELECT c.plan_id, c.question_type, c.hop_count FROM cells c LEFT JOIN sizes s ON s.k = c.k AND s.hop_count = c.hop_count WHERE c.needed > coalesce(s.n, 0)""",
@@ -66,3 +66,29 @@ SELECT a AS corpus_id_a, b AS corpus_id_b FROM s JOIN n x ON x.corpus_id = a JOI
 src AS (SELECT DISTINCT qa_id AS id, e.source AS source FROM (SELECT qa_id, unnest(CASE WHEN len(evidence_list) > 0 THEN evidence_list ELSE [NULL] END) AS e FROM qa_records))
 SELECT split, source, count(*) AS ids, CAST(sum(n) AS BIGINT) AS pairs FROM per LEFT JOIN src USING (id) GROUP BY ALL""",
 }
+
+# invariants: every text is there once and whole, none is cut or beyond a limit without need
+ORACLES["p6_valid"] = "SELECT capacity_id, count(*) AS texts, CAST(0 AS BIGINT) AS cut, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS over FROM documents CROSS JOIN pack_capacities GROUP BY capacity_id"
+
+ORACLES["p1_drawn"] = ORACLES["p1_report"].rpartition("SELECT c.plan_id")[0] + "SELECT d.plan_id, c.question_type, d.hop_count, d.n AS questions, d.n AS different FROM drawn d JOIN cells c ON c.plan_id = d.plan_id AND c.k = d.k AND c.hop_count = d.hop_count"
+ORACLES["p3_groups"] = r"""
+WITH RECURSIVE texts AS (SELECT corpus_id, list_filter(string_split_regex(lower(coalesce(title, '') || chr(10) || coalesce(body, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM corpus_documents),
+reps AS (SELECT corpus_id, w, min(corpus_id) OVER (PARTITION BY array_to_string(w, ' ')) AS rep FROM texts),
+t AS (SELECT DISTINCT corpus_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS t FROM reps WHERE corpus_id = rep AND len(w) >= 5),
+n AS (SELECT corpus_id, count(*) AS n FROM t GROUP BY 1),
+s AS (SELECT a.corpus_id AS a, b.corpus_id AS b, count(*) AS s FROM t a JOIN t b ON a.t = b.t AND a.corpus_id < b.corpus_id GROUP BY ALL),
+e AS (SELECT a, b FROM s JOIN n x ON x.corpus_id = a JOIN n y ON y.corpus_id = b WHERE 5 * s >= 4 * (x.n + y.n - s)),
+sides AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a, b FROM sides UNION SELECT r.a, g.b FROM reach r JOIN sides g ON g.a = r.b),
+label AS (SELECT a, least(a, min(b)) AS g FROM reach GROUP BY a), degree AS (SELECT a, count(*) AS k FROM sides GROUP BY a)
+SELECT r.corpus_id, coalesce(g, rep) AS group_id, coalesce(k, 0) AS links FROM reps r LEFT JOIN label ON label.a = rep LEFT JOIN degree ON degree.a = rep"""
+ORACLES["p5_idf"] = r"""
+WITH listed AS (SELECT DISTINCT split, unnest(qa_ids) AS id FROM benchmark_manifest WHERE split IN ('development', 'final_holdout')),
+q AS (SELECT DISTINCT qa_id AS id, list_sort(list_distinct(list_filter(string_split_regex(lower(query), '[^\p{L}\p{N}]+'), lambda w: w <> ''))) AS w FROM qa_records WHERE query IS NOT NULL AND qa_id IN (SELECT id FROM listed)),
+f AS (SELECT * FROM q WHERE len(w) > 0), c AS (SELECT DISTINCT w FROM f), u AS (SELECT w, unnest(w) AS t FROM c), df AS (SELECT t, ln(1 + (SELECT count(*) FROM c)::DOUBLE / count(*)) AS x FROM u GROUP BY t),
+v AS (SELECT u.w, t, x FROM u JOIN df USING (t)), norm AS (SELECT w, sqrt(sum(x * x)) AS n FROM v GROUP BY w),
+l AS (SELECT DISTINCT w FROM f JOIN listed USING (id) WHERE split = 'development'), r AS (SELECT DISTINCT w FROM f JOIN listed USING (id) WHERE split = 'final_holdout'),
+dots AS (SELECT a.w AS l, b.w AS r, sum(a.x * b.x) AS d FROM v a JOIN v b ON a.t = b.t WHERE a.w IN (SELECT w FROM l) AND b.w IN (SELECT w FROM r) GROUP BY ALL),
+near AS (SELECT l, r FROM dots JOIN norm x ON x.w = l JOIN norm y ON y.w = r WHERE d / (x.n * y.n) >= 0.9 - 1e-6),
+m AS (SELECT DISTINCT a.id AS a, b.id AS b FROM near JOIN f a ON a.w = l JOIN listed x ON x.id = a.id AND x.split = 'development' JOIN f b ON b.w = r JOIN listed y ON y.id = b.id AND y.split = 'final_holdout')
+SELECT a AS qa_id, count(*) AS partners FROM m GROUP BY a"""

@@ -38,6 +38,12 @@ def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota_sample.draw(*_plans(spark, sf_dir))
 
 
+def p1_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of the sample by plan and cell."""
+    n = p1_sample(spark, sf_dir).groupBy("plan_id", "question_type", "hop_count")
+    return n.agg(F.count(F.lit(1)).alias("questions"), F.count_distinct("qa_id").alias("different"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that at least 10 pages of their site hold, and lines of sequences that do."""
     return repeated_lines.repeated_places(repeated_lines.mine(_corpus(spark, sf_dir), longest=2))
@@ -119,16 +125,42 @@ def p5_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every text or piece at each capacity."""
-    return packing.pack(_documents(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "pack_capacities"))
+    return packing.pack(_documents(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "pack_capacities")).drop("stopped_by")
 
 
-def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers, tokens and space left over at each capacity."""
-    packed = p6_pack(spark, sf_dir)
-    boxes = packed.groupBy("capacity_id", "container_id").agg(F.sum("n_tokens").alias("tokens"))
+def _filled(packed: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, space left over and what closed them at each capacity."""
+    boxes = packed.groupBy("capacity_id", "container_id").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("segments"), F.sum("loss_tokens").alias("loss"), F.first("stopped_by").alias("stopped_by"))
     sizes = table(spark, sf_dir, "pack_capacities").select("capacity_id", "capacity_tokens")
-    totals = boxes.groupBy("capacity_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"))
-    return totals.join(sizes, "capacity_id").select("capacity_id", "containers", "tokens", (1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("unused"))
+    stopped = [F.count_if(F.col("stopped_by") == s).alias(f"by_{s}") for s in packing.STOPS]
+    totals = boxes.groupBy("capacity_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.max("segments").alias("most_segments"), F.sum("loss").alias("loss"), *stopped)
+    unused = 1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))
+    return totals.join(sizes, "capacity_id").select("capacity_id", "containers", "tokens", "loss", "most_segments", *[f"by_{s}" for s in packing.STOPS], unused.alias("unused"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and space left over at each capacity, and how many containers each limit closed."""
+    return _filled(packing.pack(_documents(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "pack_capacities")), spark, sf_dir)
+
+
+def p6_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a packing must keep, counted at each capacity: texts, texts cut though they would fit, missing or doubled pieces, containers over a limit that hold more than one piece."""
+    packed = packing.pack(_documents(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "pack_capacities"))
+    sizes = table(spark, sf_dir, "pack_capacities").select("capacity_id", F.col("capacity_tokens").cast("bigint").alias("cap"))
+    texts = packed.groupBy("capacity_id", "doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.count_distinct("piece_no").alias("m"), F.max("n_pieces").alias("of"), F.max("n_tokens").alias("most"))
+    per = texts.join(sizes, "capacity_id").groupBy("capacity_id").agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if((F.col("n") > 1) & (F.col("tokens") <= F.col("cap"))).alias("cut"), F.count_if((F.col("n") != F.col("of")) | (F.col("m") != F.col("of"))).alias("broken"),
+    )
+    boxes = packed.groupBy("capacity_id", "container_id").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.sum("loss_tokens").alias("loss")).join(sizes, "capacity_id")
+    segments, loss = F.greatest(F.lit(1), F.floor(F.col("cap") / packing.TOKENS_PER_SEGMENT)), F.floor(F.col("cap") * packing.LOSS_SHARE)
+    over = (F.col("tokens") > F.col("cap")) | (F.col("n") > 1) & ((F.col("n") > segments) | (F.col("loss") > loss))
+    return per.join(boxes.groupBy("capacity_id").agg(F.count_if(over).alias("over")), "capacity_id")
+
+
+def p6_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with an answer by themselves, half of a container's tokens loss-bearing and a segment for 96 tokens at most: what closes containers of instruction data."""
+    asked = _documents(spark, sf_dir).filter(F.contains("text", F.lit(packing.ANSWER)))
+    return _filled(packing.pack(asked, "doc_id", "text", table(spark, sf_dir, "pack_capacities"), segments_per=96, loss_share=0.5), spark, sf_dir)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,4 +188,4 @@ def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.with_canonical(documents, "doc_id", "text", members).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_cleaned, p2_sequences, p2_patterns, p3_found, p3_groups, p3_recall, p4_found, p4_articles, p5_found, p5_counts, p5_idf, p6_pack, p6_fill, p7_found, p7_items, p8_found, p8_canonical)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_drawn, p2_found, p2_cleaned, p2_sequences, p2_patterns, p3_found, p3_groups, p3_recall, p4_found, p4_articles, p5_found, p5_counts, p5_idf, p6_pack, p6_fill, p6_valid, p6_instructions, p7_found, p7_items, p8_found, p8_canonical)}

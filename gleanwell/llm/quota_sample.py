@@ -31,6 +31,8 @@ def _cells(plans: DataFrame, targets: DataFrame) -> DataFrame:
     """Targets with their plan's size; shares of a plan are scaled to add up to 1. A cell named twice in a plan has its shares and minimums added."""
     t = targets.withColumn("type_key", type_key(F.col("question_type"))).filter("type_key IS NOT NULL AND hop_count IS NOT NULL")
     t = t.groupBy("plan_id", "type_key", "hop_count").agg(F.min("question_type").alias("question_type"), F.sum(F.coalesce("target_share", F.lit(0.0))).alias("share"), F.sum(F.coalesce("min_rows", F.lit(0))).cast("int").alias("min_rows"))
+    sums = t.groupBy("plan_id").agg(F.sum("share").alias("all"))
+    t = t.join(sums, "plan_id").withColumn("share", F.when(F.col("all") > 0, F.col("share") / F.col("all")).otherwise(F.lit(0.0))).drop("all")
     return t.join(plans.select("plan_id", "sample_size"), "plan_id")
 
 
@@ -69,7 +71,7 @@ def _seated(ranked: DataFrame) -> DataFrame:
 def report(records: DataFrame, plans: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
     """(plan_id, question_type, hop_count, needed, available, drawn, short): one row per cell of every plan.
 
-    needed is the larger of min_rows and the cell's share of the sample size, short how many questions it lacks of that:
+    needed is the larger of min_rows and the cell's share of the sample size, a part of a question counting as one, short how many questions it lacks of that:
     the ranks it asks for beyond its last one. available counts the cell's questions on their own.
     """
     sizes = population(records).groupBy("type_key", "hop_count").agg(F.count(F.lit(1)).alias("available"))

@@ -47,6 +47,15 @@ def test_sample_meets_targets_minimums_and_redistributes(spark):
     assert sample == again and len(sample) == 100
 
 
+def test_shares_are_scaled_and_parts_count_as_one(spark):
+    rows = [(f"q{i}", "null_query", i % 3, 1) for i in range(60)]
+    half = sample_tables(spark, rows, 10, [("null_query", k, x, 0) for k, x in ((0, 0.1), (1, 0.15), (2, 0.25))])
+    whole = sample_tables(spark, rows, 10, [("null_query", k, x, 0) for k, x in ((0, 0.2), (1, 0.3), (2, 0.5))])
+    assert pairs(quota_sample.report(*half)) == pairs(quota_sample.report(*whole))
+    thirds = sample_tables(spark, rows, 10, [("null_query", k, 1.0, 0) for k in range(3)])
+    assert {(r["needed"], r["short"]) for r in quota_sample.report(*thirds).collect()} == {(4, 0)} and quota_sample.draw(*thirds).count() == 10
+
+
 def test_sample_of_nothing(spark):
     data = sample_tables(spark, [], 10, [("null_query", 0, 1.0, 2)])
     assert quota_sample.draw(*data).count() == 0 and [r["short"] for r in quota_sample.report(*data).collect()] == [10]
@@ -406,7 +415,7 @@ def check_boxes(rows, capacity, segments, loss):
     for r in rows:
         b = boxes[r["container_id"]]
         b[0], b[1], b[2] = b[0] + r["n_tokens"], b[1] + 1, b[2] + r["loss_tokens"]
-    assert all(t <= capacity and s <= segments and q <= loss for t, s, q in boxes.values())
+    assert all(t <= capacity and (s == 1 or s <= segments and q <= loss) for t, s, q in boxes.values())
     # no packing needs fewer than the tokens fill, or than there are pieces of over half a container
     least = max(-(-sum(b[0] for b in boxes.values()) // capacity), sum(2 * r["n_tokens"] > capacity for r in rows))
     return len(boxes) / least
@@ -432,7 +441,7 @@ def test_containers_are_valid_and_full(spark):
             ps.sort(key=lambda r: r["piece_no"])
             assert sum(p["n_tokens"] for p in ps) == counts[i]["tokens"] and sum(p["loss_tokens"] for p in ps) == counts[i]["loss"]
             assert len(ps) == ps[0]["n_pieces"] == max(1, -(-counts[i]["tokens"] // cap)) and [p["first_token"] for p in ps] == [k * cap for k in range(len(ps))]
-        assert check_boxes(rows, cap, cap // 16, cap) < 1.05
+        assert check_boxes(rows, cap, *packing.limits(cap)) < 1.1
     assert packing.pack(df.filter("false"), "doc_id", "text", caps).count() == 0 and packing.pack(df, "doc_id", "text", caps.filter("false")).count() == 0
 
 
@@ -440,11 +449,18 @@ def test_filling_keeps_all_limits():
     rng = np.random.default_rng(0)
     t = rng.integers(0, 100, 500)
     q = (t * rng.random(500)).astype(int)
-    box = packing.fill(t, q, 200, 4, 90)
+    box, stops = packing.fill(t, q, 200, 4, 90)
     for b in range(box.max() + 1):
         m = box == b
         assert m.sum() == 1 or (t[m].sum() <= 200 and m.sum() <= 4 and q[m].sum() <= 90)
-    assert (box >= 0).all() and packing.fill(np.array([5]), np.array([5]), 10, 1, 2).tolist() == [0]
+    assert (box >= 0).all() and len(stops) == box.max() + 1 and packing.fill(np.array([5]), np.array([5]), 10, 1, 2)[0].tolist() == [0]
+
+
+@pytest.mark.parametrize(("tokens", "loss", "stop"), [(60, 0, "tokens"), (10, 1, "segments"), (20, 18, "loss")])
+def test_each_limit_closes_containers(tokens, loss, stop):
+    box, stops = packing.fill(np.full(40, tokens), np.full(40, loss), 100, 4, 40)
+    names = [packing.STOPS[s] for s in stops]
+    assert set(names[:-1]) == {stop} and names[-1] in ("last", stop) and np.bincount(box)[0] == {"tokens": 1, "segments": 4, "loss": 2}[stop]
 
 
 # --- 7
