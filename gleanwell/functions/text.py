@@ -1,9 +1,11 @@
-"""Text rules of retrieval and evaluation as Column expressions; nothing here leaves the JVM."""
+"""Text rules of retrieval and evaluation as Column expressions; nothing but folded leaves the JVM."""
 
-from __future__ import annotations
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that mark a question as comparing, as temporal, as joining.
 COMPARISON = (
@@ -72,9 +74,25 @@ def normal_answer(text: Column) -> Column:
     return F.array_join(F.filter(words, lambda w: ~w.isin("a", "an", "the", "")), " ")
 
 
+def exact_fact(text: Column) -> Column:
+    """Straight quotes and dashes and single spaces: for finding quotations to the letter."""
+    return strip(F.regexp_replace(F.translate(text, "‘’“”–—", "''\"\"--"), r"\s+", " "))
+
+
 def normal_fact(text: Column) -> Column:
-    """Straight quotes and dashes, single spaces, lower case: for finding quotations word for word."""
-    return F.lower(strip(F.regexp_replace(F.translate(text, "‘’“”–—", "''\"\"--"), r"\s+", " ")))
+    """exact_fact in lower case: for finding quotations word for word."""
+    return F.lower(exact_fact(text))
+
+
+@F.pandas_udf(StringType())
+def _fold(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
+def folded(text: Column) -> Column:
+    """Compatibility composition and case folding; only texts with other than ASCII characters leave the JVM."""
+    other = F.rlike(text, F.lit(r"[^\x00-\x7F]"))
+    return F.when(other, _fold(F.when(other, text))).otherwise(F.lower(text))
 
 
 def abstains(answer: Column) -> Column:
@@ -175,3 +193,33 @@ def query_features(q: Column) -> dict[str, Column]:
         "quoted": F.regexp_count(q, F.lit(r"'[^']{2,80}'|\"[^\"]{2,80}\"")),
         "numeric": F.regexp_count(q, F.lit(numeric[0])) + F.regexp_count(q, F.lit(numeric[1])) + F.regexp_count(q, F.lit(numeric[2])),
     }
+
+
+def strict_json(raw: Column, ddl: str) -> Column:
+    """The struct of a JSON object, null as a whole where the text is no object of these types; other keys are ignored."""
+    return F.from_json(raw, ddl, {"mode": "PERMISSIVE"})
+
+
+def parse_judge(raw: Column) -> Column:
+    """struct<grade, score, reason, fallback> of a judge's JSON text: one doubled opening brace is repaired; text behind the object, another
+    grade or type make it incorrect with a score of 0 and fallback."""
+    # the grammar of one flat object, so that trailing text and nested values are refused
+    string = r'"(?:[^"\\]|\\.)*"'
+    pair = rf"\s*{string}\s*:\s*(?:{string}|-?\d+(?:\.\d+)?|true|false|null)\s*"
+    flat = rf"^\s*\{{{pair}(?:,{pair})*\}}\s*$"
+    fixed = F.regexp_replace(raw, r"^(\s*\{)\s*\{", "$1")
+    read = F.when(F.rlike(fixed, F.lit(flat)), F.from_json(fixed, "grade string, reason string"))
+    quoted = F.rlike(fixed, F.lit(r'"grade"\s*:\s*"'))
+    grade = F.when(quoted & read["grade"].isin("correct", "partially_correct", "incorrect"), read["grade"])
+    score = F.when(grade == "correct", 1.0).when(grade == "partially_correct", 0.5).otherwise(0.0)
+    return F.struct(F.coalesce(grade, F.lit("incorrect")).alias("grade"), score.alias("score"), F.coalesce(read["reason"], F.lit("")).alias("reason"), grade.isNull().alias("fallback"))
+
+
+def parse_controller(raw: Column) -> Column:
+    """struct<sufficient, next_query, reason, fallback> of a controller's JSON text: sufficient must be a JSON boolean and next_query a string or null;
+    no next query where sufficient; anything else is sufficient as a fallback."""
+    read = F.from_json(raw, "sufficient boolean, next_query string, reason string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    typed = F.rlike(raw, F.lit(r'"sufficient"\s*:\s*(?:true|false)\b')) & ~F.rlike(raw, F.lit(r'"next_query"\s*:\s*+(?!"|null\b)')) & F.rlike(raw, F.lit(r"^\s*\{[\s\S]*\}\s*$"))
+    good = F.coalesce(typed & read["_bad"].isNull() & read["sufficient"].isNotNull(), F.lit(False))
+    said = F.when(good, read["sufficient"]).otherwise(F.lit(True))
+    return F.struct(said.alias("sufficient"), F.when(good & ~said, read["next_query"]).alias("next_query"), F.when(good, F.coalesce(read["reason"], F.lit(""))).otherwise(F.lit("")).alias("reason"), (~good).alias("fallback"))

@@ -53,14 +53,17 @@ def pack(u: Column, target: int, most: int, overlap: int) -> Column:
     The tail is left out if it and the next unit exceed most. array<array<struct<text, n>>>.
     """
     kind = "array<struct<text:string,n:int>>"
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.array().cast(kind).alias("now"))
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.array().cast(kind).alias("now"), F.lit(0).alias("n"))
     size = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x["n"])
 
     def step(s: Column, x: Column) -> Column:
-        closes = (F.size(s["now"]) > 0) & ((size(s["now"]) >= target) | (size(s["now"]) + x["n"] > most))
+        closes = (F.size(s["now"]) > 0) & ((s["n"] >= target) | (s["n"] + x["n"] > most))
         tail = _tail(s["now"], overlap)
         fresh = F.when(size(tail) + x["n"] > most, F.array(x)).otherwise(F.array_append(tail, x))
-        return F.struct(F.when(closes, F.array_append(s["done"], s["now"])).otherwise(s["done"]).alias("done"), F.when(closes, fresh).otherwise(F.array_append(s["now"], x)).alias("now"))
+        return F.struct(
+            F.when(closes, F.array_append(s["done"], s["now"])).otherwise(s["done"]).alias("done"), F.when(closes, fresh).otherwise(F.array_append(s["now"], x)).alias("now"),
+            F.when(closes, size(fresh)).otherwise(s["n"] + x["n"]).alias("n"),
+        )
 
     return F.aggregate(u, start, step, lambda s: F.when(F.size(s["now"]) > 0, F.array_append(s["done"], s["now"])).otherwise(s["done"]))
 

@@ -21,7 +21,7 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "
 def clean(ranked: DataFrame) -> DataFrame:
     """One row per (qid, method, chunk_id), ranks renumbered from 1 by stored rank, then chunk. Rows without qid, method or chunk are dropped."""
     rows = ranked.filter("qid IS NOT NULL AND method IS NOT NULL AND chunk_id IS NOT NULL")
-    one = rows.groupBy("qid", "method", "chunk_id").agg(F.min("doc_id").alias("doc_id"), F.min("rank").alias("stored"), F.max("score").alias("score"), F.max("text").alias("text"))
+    one = rows.groupBy("qid", "method", "chunk_id").agg(F.min("doc_id").alias("doc_id"), F.min("rank").alias("stored"), F.max("score").alias("score"), F.max("text").alias("text"), *([F.max("rerank_score").alias("rerank_score")] if "rerank_score" in ranked.columns else []))
     w = Window.partitionBy("qid", "method").orderBy("stored", "chunk_id")
     return one.withColumn("rank", F.row_number().over(w)).drop("stored")
 

@@ -19,6 +19,24 @@ def wilson(hits: Column, n: Column, confidence: float = 0.95) -> tuple[Column, C
     return F.greatest(middle - half, F.lit(0.0)), F.least(middle + half, F.lit(1.0))
 
 
+def bonferroni(alpha: float, comparisons: int) -> float:
+    """The error each of so many comparisons may have; fewer than one raises."""
+    if comparisons < 1:
+        raise ValueError("there is no comparison")
+    return alpha / comparisons
+
+
+def excludes_zero(low: Column, high: Column) -> Column:
+    """Whether 0 lies outside an interval; null for a null end."""
+    return ~((low <= 0) & (high >= 0))
+
+
+def normal_interval(mean: str, stdev: str, n: str, alpha: float) -> tuple[Column, Column]:
+    """Both ends of the interval of a mean; null for fewer than two values. Other errors than those of Z raise."""
+    half = F.lit(Z[round(1 - alpha, 6)]) * F.col(stdev) / F.sqrt(F.col(n))
+    return F.col(mean) - half, F.col(mean) + half
+
+
 def paired_summary(pairs: DataFrame, by: list[str]) -> DataFrame:
     """(n, mean, median, stdev, effect) of a - b per group; effect is mean over stdev, null for fewer than 2 pairs or no spread."""
     d = F.col("a") - F.col("b")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import facts, metrics, model, ranking, sampling, statistics, upkeep
-from ..runtime import spread, table
+from ..operators import chunking, facts, metrics, model, ranking, sampling, statistics, upkeep
+from ..runtime import materialise, spread, table
 from ..streaming import rate_limit
 from . import views
 
@@ -134,20 +134,26 @@ def fact_grounding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fact_survival(spark: SparkSession, d: str) -> DataFrame:
-    """Whether facts stand in one paragraph, across two or nowhere."""
-    return facts.survival(*_facts(spark, d)).groupBy("place").agg(F.count(F.lit(1)).alias("facts"))
+    """Whether facts stand in one paragraph, across two or nowhere, to the letter."""
+    f, pages = _facts(spark, d)
+    return facts.survival(f, pages.select("doc_id", chunking.paragraphs(F.col("text"), "\n").alias("parts"))).groupBy("place").agg(F.count(F.lit(1)).alias("facts"))
+
+
+def fact_survival_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Whether facts stand in one chunk, across two or nowhere, to the letter."""
+    f, pages = _facts(spark, d)
+    packed = chunking.pack(chunking.units(F.col("text"), 160, "\n"), 120, 160, 20)
+    parts = F.transform(packed, lambda us: F.array_join(F.transform(us, lambda u: u["text"]), "\n"))
+    return facts.survival(f, pages.select("doc_id", parts.alias("parts"))).groupBy("place").agg(F.count(F.lit(1)).alias("facts"))
 
 
 def judge_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Verdicts of the judge written as JSON and read again, one in each four with the brace doubled, fallbacks as broken text."""
-    raw = F.when(F.col("fallback_used"), F.concat(F.lit("grade: "), F.col("grade"))).otherwise(F.to_json(F.struct("grade", "reason")))
-    raw = F.when((F.length("qa_id") > 0) & (F.substring("qa_id", 1, 1).isin("0", "1", "2", "3")) & ~F.col("fallback_used"), F.concat(F.lit("{"), raw)).otherwise(raw)
-    rows = table(spark, d, "judge_scores").select("qa_id", raw.alias("raw"))
-    ddl = "grade string, reason string"
-    read = F.coalesce(F.from_json("raw", ddl)["grade"], F.from_json(F.regexp_replace("raw", r"^(\s*\{)\s*\{", "$1"), ddl)["grade"])
-    grade = F.when(read.isin("correct", "partially_correct", "incorrect"), read)
-    score = F.when(grade == "correct", 1.0).when(grade == "partially_correct", 0.5).otherwise(0.0)
-    return rows.select("qa_id", F.coalesce(grade, F.lit("incorrect")).alias("grade"), score.alias("score"), grade.isNull().cast("int").alias("fallback"))
+    """Raw texts of a judge read strictly: its grades as JSON, one in each four with the brace doubled or text behind it, fallbacks as plain text."""
+    first = F.substring("qa_id", 1, 1)
+    whole = F.to_json(F.struct("grade", "reason"))
+    raw = F.when(F.col("fallback_used"), F.concat(F.lit("grade: "), F.col("grade"))).when(first.isin("0", "1", "2", "3"), F.concat(F.lit("{"), whole)).when(first.isin("c", "d", "e", "f"), F.concat(whole, F.lit(" ok"))).otherwise(whole)
+    said = text.parse_judge(raw)
+    return table(spark, d, "judge_scores").select("qa_id", said.alias("j")).select("qa_id", "j.grade", "j.score", F.col("j.fallback").cast("int").alias("fallback"))
 
 
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -199,7 +205,7 @@ def router_coefficients(spark: SparkSession, d: str) -> DataFrame:
 
 def router_probabilities(spark: SparkSession, d: str) -> DataFrame:
     """Out-of-fold probabilities of being simple."""
-    rows = _labelled(spark, d).cache()
+    rows = materialise(_labelled(spark, d), "labelled")
     return model.out_of_fold(rows, FEATURES, "label", 5).select("qa_id", "fold", "label", F.round("probability", 6).alias("probability"))
 
 
@@ -283,7 +289,7 @@ def upsert_routes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grade_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """Questions that have different true routes in different runs."""
+    """Questions that different runs sent on different routes."""
     return upkeep.conflicts(table(spark, d, "phase9_holdout_report").filter("qa_id IS NOT NULL"), "qa_id", "predicted_route")
 
 
@@ -301,12 +307,13 @@ def rate_limited(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("refused"))
 
 
-QUERIES = {f.__name__: f for f in (latency_percentiles, evidence_coverage, answer_scores, abstention, verdicts, response_structure, evidence_routes, shortest_questions, entity_containment, unsupported, task_success, combined_quality, fact_grounding, fact_survival, judge_parse, confusion_matrix, class_scores, route_order, threshold_curve, fold_assignment, router_coefficients, router_probabilities, paired_delta, bootstrap_ci, hop_tiers, replay_overlap, allocation, stratified_sample, manifest_checks, type_distribution, latest_traces, remaining_questions, upsert_routes, grade_conflicts, split_drift, rate_limited)}
+QUERIES = {f.__name__: f for f in (latency_percentiles, evidence_coverage, answer_scores, abstention, verdicts, response_structure, evidence_routes, shortest_questions, entity_containment, unsupported, task_success, combined_quality, fact_grounding, fact_survival, fact_survival_chunks, judge_parse, confusion_matrix, class_scores, route_order, threshold_curve, fold_assignment, router_coefficients, router_probabilities, paired_delta, bootstrap_ci, hop_tiers, replay_overlap, allocation, stratified_sample, manifest_checks, type_distribution, latest_traces, remaining_questions, upsert_routes, grade_conflicts, split_drift, rate_limited)}
 
 _V = "WITH " + views.SQL
 _NORMAL = r"array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(lower({0}), '[[:punct:]]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+'), lambda w: w NOT IN ('a', 'an', 'the', '')), ' ')"
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _FACT = "lower(" + _STRIP.format(r"regexp_replace(translate({0}, '‘’“”–—', '''''\"\"--'), '\s+', ' ', 'g')") + ")"
+_EXACT = _FACT.removeprefix("lower(").removesuffix(")")
 _COVERED = f"""{_V}, g AS (SELECT qid AS qa_id, list(doc_id) AS gold FROM gold GROUP BY qid),
 cov AS (SELECT tr.*, g.gold, len(list_intersect(gold, coalesce(evidence_doc_ids_used, []))) / len(gold) AS coverage FROM tr LEFT JOIN g USING (qa_id))"""
 _WORDS = "list_filter(string_split({0}, ' '), lambda w: w <> '')"
@@ -360,13 +367,15 @@ SELECT pipeline, question_type, count(*) FILTER (u) AS unsupported, count(*) FIL
     "fact_grounding": f"""{_V}, f AS (SELECT qid, pos, doc_id, {_FACT.format("fact")} AS f FROM evidence), b AS (SELECT substr(sha1(url), 1, 16) AS doc_id, {_FACT.format("body")} AS t FROM corpus_documents),
 held AS (SELECT DISTINCT doc_id, f FROM f JOIN b USING (doc_id) WHERE f <> '' AND contains(t, f)), r AS (SELECT f.qid, (h.f IS NOT NULL) AS ok FROM f LEFT JOIN held h ON h.doc_id = f.doc_id AND h.f = f.f)
 SELECT qid, count(*) AS facts, count(*) FILTER (ok) AS grounded, round(count(*) FILTER (ok) / count(*), 6) AS rate FROM r GROUP BY qid""",
-    "fact_survival": f"""{_V}, f AS (SELECT qid, pos, doc_id, {_FACT.format("fact")} AS f FROM evidence),
-b AS (SELECT substr(sha1(url), 1, 16) AS doc_id, list_transform(list_filter(list_transform(string_split(body, chr(10)), lambda x: {_STRIP.format("x")}), lambda x: x <> ''), lambda x: {_FACT.format("x")}) AS ps FROM corpus_documents WHERE body IS NOT NULL),
+    "fact_survival": f"""{_V}, f AS (SELECT qid, pos, doc_id, {_EXACT.format("fact")} AS f FROM evidence),
+b AS (SELECT substr(sha1(url), 1, 16) AS doc_id, list_transform(list_filter(list_transform(string_split(body, chr(10)), lambda x: {_STRIP.format("x")}), lambda x: x <> ''), lambda x: {_EXACT.format("x")}) AS ps FROM corpus_documents WHERE body IS NOT NULL),
 lv AS (SELECT doc_id, f, max(CASE WHEN len(list_filter(ps, lambda p: contains(p, f))) > 0 THEN 2 WHEN len(list_filter(list_transform(list_zip(ps, ps[2:]), lambda z: coalesce(z[1], '') || coalesce(' ' || z[2], '')), lambda p: contains(p, f))) > 0 THEN 1 ELSE 0 END) AS level
  FROM (SELECT DISTINCT doc_id, f FROM f WHERE f <> '') JOIN b USING (doc_id) GROUP BY ALL)
 SELECT CASE level WHEN 2 THEN 'intact' WHEN 1 THEN 'across' ELSE 'absent' END AS place, count(*) AS facts FROM f LEFT JOIN lv ON lv.doc_id = f.doc_id AND lv.f = f.f GROUP BY 1""",
-    "judge_parse": """SELECT qa_id, CASE WHEN NOT fallback_used AND grade IN ('correct', 'partially_correct', 'incorrect') THEN grade ELSE 'incorrect' END AS grade,
-CASE WHEN fallback_used THEN 0.0 WHEN grade = 'correct' THEN 1.0 WHEN grade = 'partially_correct' THEN 0.5 ELSE 0.0 END::DOUBLE AS score, (fallback_used OR coalesce(grade, '') NOT IN ('correct', 'partially_correct', 'incorrect'))::INT AS fallback FROM judge_scores""",
+    "judge_parse": r"""WITH w AS (SELECT qa_id, grade, fallback_used, substr(qa_id, 1, 1) AS f, '{' || CASE WHEN grade IS NULL THEN '' ELSE '"grade":' || to_json(grade) || CASE WHEN reason IS NULL THEN '' ELSE ',' END END || CASE WHEN reason IS NULL THEN '' ELSE '"reason":' || to_json(reason) END || '}' AS whole FROM judge_scores),
+raw AS (SELECT qa_id, CASE WHEN fallback_used THEN 'grade: ' || grade WHEN f IN ('0', '1', '2', '3') THEN '{' || whole WHEN f IN ('c', 'd', 'e', 'f') THEN whole || ' ok' ELSE whole END AS raw FROM w),
+fixed AS (SELECT qa_id, regexp_replace(raw, '^(\s*\{)\s*\{', '\1') AS raw FROM raw), g AS (SELECT qa_id, CASE WHEN json_valid(raw) AND json_type(raw, '$.grade') = 'VARCHAR' THEN json_extract_string(raw, '$.grade') END AS g FROM fixed)
+SELECT qa_id, CASE WHEN g IN ('correct', 'partially_correct', 'incorrect') THEN g ELSE 'incorrect' END AS grade, CASE g WHEN 'correct' THEN 1.0 WHEN 'partially_correct' THEN 0.5 ELSE 0.0 END::DOUBLE AS score, (coalesce(g, '') NOT IN ('correct', 'partially_correct', 'incorrect'))::INT AS fallback FROM g""",
     "confusion_matrix": f"{_CM} SELECT * FROM cm",
     "class_scores": f"""{_CM}, s AS (SELECT l.x AS label, (SELECT sum(rows) FROM cm WHERE truth = l.x AND predicted = l.x) AS hit, (SELECT sum(rows) FROM cm WHERE truth = l.x) AS n, (SELECT sum(rows) FROM cm WHERE predicted = l.x) AS m FROM l),
 p AS (SELECT label, CAST(n AS BIGINT) AS support, coalesce(hit / nullif(m, 0), 0) AS p, coalesce(hit / nullif(n, 0), 0) AS r FROM s) SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, support FROM p""",
@@ -414,3 +423,7 @@ b AS (SELECT qid, bool_or(method = 'rrf') AS fused FROM h WHERE whole GROUP BY q
 SELECT a.qid, hops AS hop_count, CASE WHEN fused THEN 'SIMPLE' WHEN fused IS NOT NULL THEN 'MEDIUM' ELSE 'COMPLEX' END AS route FROM a LEFT JOIN b USING (qid)""",
     "shortest_questions": f"{_V} SELECT question_type, arg_min(query, {{'l': length(query), 'q': qa_id}}) AS query FROM questions WHERE query IS NOT NULL AND question_type IS NOT NULL GROUP BY question_type",
 }
+ORACLES["rate_limited"] = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+r AS (SELECT user_id, n, [us] AS recent, true AS ok FROM e WHERE n = 1 UNION ALL
+ SELECT user_id, n, CASE WHEN len(near) < 5 THEN list_append(near, us) ELSE near END, len(near) < 5 FROM (SELECT e.user_id, e.n, e.us, list_filter(r.recent, lambda x: e.us - x <= 3600000000) AS near FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id, count(*) FILTER (ok) AS allowed, count(*) FILTER (NOT ok) AS refused FROM r GROUP BY user_id"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, retrieval
+from . import evaluation, retrieval, studies
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | evaluation.QUERIES
-ORACLES: dict[str, str] = retrieval.ORACLES | evaluation.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | evaluation.QUERIES | studies.QUERIES
+ORACLES: dict[str, str] = retrieval.ORACLES | evaluation.ORACLES | studies.ORACLES

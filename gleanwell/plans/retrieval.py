@@ -55,7 +55,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     """Number and length of chunks."""
     c = chunks(spark, d)
-    return c.agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("corpus_id").alias("docs"), F.min("tokens").alias("least"), F.max("tokens").alias("most"), F.round(F.avg("tokens"), 3).alias("mean"), F.median("tokens").alias("median"))
+    return c.agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("corpus_id").alias("docs"), F.min("tokens").alias("least"), F.max("tokens").alias("most"), F.round(F.avg("tokens"), 3).alias("mean"), F.median("tokens").alias("median"), F.round(F.stddev_samp("tokens"), 3).alias("stdev"), F.round(F.count(F.lit(1)) / F.count_distinct("corpus_id"), 3).alias("per_doc"))
 
 
 def doc_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -97,18 +97,25 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     return ranking.fuse(views.ranked(spark, d), ("dense", "bm25")).withColumn("rrf_score", F.round("rrf_score", 9))
 
 
-def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Fused lists reranked by word overlap, the first 5."""
+def _pool(spark: SparkSession, d: str) -> DataFrame:
     lists = views.ranked(spark, d)
     pool = ranking.fuse(lists, ("dense", "bm25")).filter(F.col("rank") <= ranking.DEPTH)
-    pool = pool.join(lists.groupBy("qid", "chunk_id").agg(F.max("text").alias("text")), ["qid", "chunk_id"])
-    return ranking.rerank(pool, views.questions(spark, d).select(F.col("qa_id").alias("qid"), "query"), 5)
+    return pool.join(lists.groupBy("qid", "chunk_id").agg(F.max("text").alias("text")), ["qid", "chunk_id"])
+
+
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    return views.questions(spark, d).select(F.col("qa_id").alias("qid"), "query")
+
+
+def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Fused lists reranked by word overlap, the first 5."""
+    return ranking.rerank(_pool(spark, d), _queries(spark, d), 5)
 
 
 def context_matched(spark: SparkSession, d: str) -> DataFrame:
-    """Fused lists cut to as many chunks as the agentic pipeline used for the question."""
+    """Fused lists reranked and cut to as many chunks as the agentic pipeline used for the question."""
     n = views.traces(spark, d).filter("pipeline = 'always_agentic' AND num_chunks_used_for_generation IS NOT NULL").select(F.col("qa_id").alias("qid"), F.col("num_chunks_used_for_generation").alias("n"))
-    return ranking.fuse(views.ranked(spark, d), ("dense", "bm25")).join(n, "qid").filter(F.col("rank") <= F.col("n")).select("qid", "chunk_id", "rank")
+    return ranking.rerank(_pool(spark, d), _queries(spark, d), ranking.DEPTH).join(n, "qid").filter(F.col("rank") <= F.col("n")).select("qid", "chunk_id", "rank")
 
 
 def collapse_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -231,7 +238,6 @@ UNION ALL SELECT DISTINCT doc_id, 'lists' FROM corpus_documents WHERE doc_id IS
 scored AS (SELECT f.qid, f.chunk_id, f.rank AS rrf_rank, list_distinct({_WORDS.format("coalesce(q.query, '')")}) AS q, {_WORDS.format("coalesce(t.text, '')")} AS t FROM fused f JOIN texts t USING (qid, chunk_id) JOIN questions q ON q.qa_id = f.qid WHERE f.rank <= 20),
 s AS (SELECT qid, chunk_id, rrf_rank, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, t)) / len(q) ELSE 0 END, 9) AS rerank_score FROM scored)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, rrf_rank, chunk_id) AS rank FROM s) WHERE rank <= 5""",
-    "context_matched": f"{_FUSED} SELECT f.qid, f.chunk_id, f.rank FROM fused f JOIN tr ON tr.qa_id = f.qid AND tr.pipeline = 'always_agentic' WHERE f.rank <= tr.num_chunks_used_for_generation",
     "collapse_docs": f"{_V} SELECT * FROM collapsed",
     "context_budget": f"""{_V} SELECT * FROM (SELECT qid, method, chunk_id, rank, CAST(sum(greatest(1, length(coalesce(text, '')) // 4)) OVER (PARTITION BY qid, method ORDER BY rank) AS BIGINT) AS used FROM ranked) WHERE used <= 150""",
     "merge_hops": f"{_HOPS} SELECT qid, chunk_id, hop, rank, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY hop, rank) = 1 AS fresh FROM hops",
@@ -250,3 +256,6 @@ dd AS (SELECT qid, doc_id, sum(s) AS s FROM (SELECT DISTINCT qid, doc_id, 1 AS s
 SELECT qid, round(moved, 6) AS moved, count(*) FILTER (s = 3) AS kept_docs, count(*) FILTER (s = 2) AS new_docs FROM mv JOIN dd USING (qid) GROUP BY qid, moved""",
     "question_features": _features_sql(),
 }
+
+# the same lists as rerank_topk's, cut to each question's own number
+ORACLES["context_matched"] = ORACLES["rerank_topk"].replace("SELECT * FROM (SELECT *, row_number()", "SELECT qid, chunk_id, rank FROM (SELECT *, row_number()").replace("WHERE rank <= 5", "JOIN tr ON tr.qa_id = qid AND tr.pipeline = 'always_agentic' WHERE rank <= tr.num_chunks_used_for_generation")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,18 +49,9 @@ def append_remaining(todo: DataFrame, path: str, key: str) -> int:
     try:
         done = spark.read.parquet(path).select(key).distinct()
         todo = todo.join(done, key, "left_anti")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    before = _rows(spark, path)
-    todo.write.mode("append").parquet(path)
-    return _rows(spark, path) - before
-
-
-def _rows(spark: SparkSession, path: str) -> int:
-    try:
-        return spark.read.parquet(path).count()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e):
-            return 0
-        raise
+    written = Observation()
+    todo.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return written.get["n"]

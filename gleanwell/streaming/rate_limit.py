@@ -79,6 +79,9 @@ def _settle(limit: int, seconds: float):
     gap = int(seconds * 1_000_000)
 
     def run(client: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # silent for a window: nothing that it did counts any more
+            state.remove()
+            return
         recent = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["us", "key"])
         allowed = []
@@ -88,13 +91,19 @@ def _settle(limit: int, seconds: float):
             if allowed[-1]:
                 recent.append(int(us))
         state.update((recent,))
+        last = int(rows["us"].iloc[-1])
+        state.setTimeoutTimestamp(max((last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"client": client[0], "key": rows["key"], "allowed": allowed})
 
     return run
 
 
 def limited_stream(events: DataFrame, client: str, time: str, key: str, limit: int = LIMIT, seconds: float = SECONDS) -> DataFrame:
-    """(client, key, allowed) of a streaming DataFrame whose events come in order of time for each client; client and key are read as bigints."""
+    """(client, key, allowed) of a streaming DataFrame whose events come in order of time for each client; client and key are read as bigints.
+
+    The watermark trails by a window. A client's state, limit times at most, goes when the watermark is a window past its last event.
+    """
     rows = events.filter(F.col(client).isNotNull() & F.col(time).isNotNull())
-    rows = rows.select(F.col(client).cast("bigint").alias("client"), F.col(key).cast("bigint").alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("us"))
-    return rows.groupBy("client").applyInPandasWithState(_settle(limit, seconds), "client bigint, key bigint, allowed boolean", "recent array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    rows = rows.select(F.col(client).cast("bigint").alias("client"), F.col(key).cast("bigint").alias("key"), F.col(time).cast("timestamp").alias("at"))
+    rows = rows.withWatermark("at", f"{int(seconds)} seconds").select("client", "key", "at", F.unix_micros("at").alias("us"))
+    return rows.groupBy("client").applyInPandasWithState(_settle(limit, seconds), "client bigint, key bigint, allowed boolean", "recent array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -284,3 +284,109 @@ def test_hot_keys_meet_in_blocks(spark):
     for size in (5, 1000):
         got = skew.join_split(df, right, "key", "id", "other", size=size)
         assert sorted(tuple(r) for r in got.select("id", "other").collect()) == want and got.columns == ["key", "id", "n2", "other"]
+
+
+JUDGE = [
+    ('{"grade": "correct", "reason": "a \\"b\\""}', ("correct", 1.0, 'a "b"', False)), ('  {{"grade": "partially_correct", "reason": "r"}', ("partially_correct", 0.5, "r", False)),
+    ('{"grade": "correct"} and more', ("incorrect", 0.0, "", True)), ('{"grade": 1, "reason": "r"}', ("incorrect", 0.0, "r", True)), ('{"grade": "right", "reason": "r"}', ("incorrect", 0.0, "r", True)),
+    ("grade: correct", ("incorrect", 0.0, "", True)), ("", ("incorrect", 0.0, "", True)), (None, ("incorrect", 0.0, "", True)), ('{"grade": {"x": 1}}', ("incorrect", 0.0, "", True)), ('{"grade": "incorrect", "n": 2.5}', ("incorrect", 0.0, "", False)),
+]
+CONTROLLER = [
+    ('{"sufficient": false, "next_query": "who?", "reason": "r"}', (False, "who?", "r", False)), ('{"sufficient": true, "next_query": "who?"}', (True, None, "", False)),
+    ('{"sufficient": "true", "next_query": null}', (True, None, "", True)), ('{"sufficient": false, "next_query": 3}', (True, None, "", True)), ('{"sufficient": false, "next_query": null}', (False, None, "", False)),
+    ("{", (True, None, "", True)), (None, (True, None, "", True)), ('{"next_query": "x"}', (True, None, "", True)), ('[{"sufficient": false}]', (True, None, "", True)),
+]
+
+
+@pytest.mark.parametrize(("parse", "cases"), [(text.parse_judge, JUDGE), (text.parse_controller, CONTROLLER)])
+def test_replies_are_read_strictly(spark, parse, cases):
+    df = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(cases)], "i int, raw string")
+    got = {r["i"]: tuple(r["x"]) for r in df.select("i", parse(F.col("raw")).alias("x")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_folding(spark):
+    df = spark.createDataFrame([("Straße ﬁ Ⅷ",), ("ASCII",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(text.folded(F.col("t"))).collect()] == ["strasse fi viii", "ascii", None, ""]
+
+
+def test_facts_to_the_letter(spark):
+    from gleanwell.operators import facts
+
+    asked = spark.createDataFrame([("q", i, "d", f) for i, f in enumerate(["A “b”", "a b", "end of one start", "none", None])], "qid string, pos int, doc_id string, fact string")
+    texts = spark.createDataFrame([("d", ['x A "b" y', "the end of one", "start of two"])], "doc_id string, parts array<string>")
+    assert rows(facts.survival(asked, texts).select("pos", "place")) == [(0, "intact"), (1, "absent"), (2, "across"), (3, "absent"), (4, "absent")]
+    page = spark.createDataFrame([("d", 'X a  "B" ﬁne'), ("e", None)], "doc_id string, text string")
+    more = spark.createDataFrame([("q", i, "d", f) for i, f in enumerate(["A “b”", "FINE", "zz", ""])], "qid string, pos int, doc_id string, fact string")
+    assert rows(facts.grounded(more, page).select("pos", "grounded")) == [(0, True), (1, True), (2, False), (3, False)]
+
+
+def test_splits_are_disjoint_or_raise(spark):
+    df = spark.createDataFrame([(f"q{i}", "ab"[i % 3 == 0]) for i in range(90)], "k string, s string")
+    sizes = {"development": (30, 1), "final_holdout": (30, 2), "smoke": (6, 3)}
+    got = defaultdict(set)
+    for split, k, _ in rows(sampling.splits(df, "k", "s", sizes)):
+        got[split].add(k)
+    assert {n: len(v) for n, v in got.items()} == {n: v[0] for n, v in sizes.items()} and not got["development"] & got["final_holdout"] and got["smoke"] <= got["development"]
+    with pytest.raises(ValueError, match="unique"):
+        sampling.splits(df.union(df), "k", "s", sizes)
+    with pytest.raises(ValueError, match="both"):
+        sampling.ensure_disjoint(df, df, "k")
+    with pytest.raises(ValueError, match="not in"):
+        sampling.ensure_subset(df, df.filter("s = 'a'"), "k")
+    part = rows(sampling.part(df, "k", "s", 0.7, 5).groupBy("s").agg(F.count_if("picked")))
+    assert part == [("a", 42), ("b", 21)]
+
+
+def test_cells_and_examples(spark):
+    df = spark.createDataFrame([(f"q{i}", "ab"[i % 2], "xyz"[i % 3], 1 + (i > 5)) for i in range(12)], "k string, t string, r string, tier int")
+    quotas = spark.createDataFrame([("a", 2), ("b", 20)], "t string, quota int")
+    assert rows(sampling.shortage(df, quotas, ["t"])) == [("b", 20, 6)]
+    with pytest.raises(ValueError, match="1 cells"):
+        sampling.cells(df, quotas, ["t"], "k", 1)
+    assert rows(sampling.cells(df, quotas, ["t"], "k", 1, strict=False).groupBy("t").count()) == [("a", 2), ("b", 6)]
+    # tier 1 first: q0 (a, x), then the most new values, then what is left by key
+    assert [k for k, _ in sorted(rows(sampling.diverse(df, "k", ["t", "r"], "tier", 5)), key=lambda x: x[1])] == ["q0", "q1", "q2", "q3", "q4"]
+    assert sampling.diverse(df.filter("false"), "k", ["t", "r"], "tier", 5).count() == 0
+
+
+def test_thresholds(spark):
+    rng = random.Random(2)
+    data = [(f"q{i}", rng.random(), rng.random(), rng.choice(["SIMPLE", "MEDIUM", "COMPLEX"])) for i in range(60)]
+    df = spark.createDataFrame(data, "k string, p1 double, p2 double, true_route string")
+    costs = {"SIMPLE": 1.0, "MEDIUM": 2.0, "COMPLEX": 5.0}
+    order = list(costs)
+    grid = {(r["tau1"], r["tau2"]): r for r in model.threshold_grid(df, costs).collect()}
+    assert len(grid) == 95 * 95
+    for a, b in ((0.05, 0.05), (0.5, 0.3), (0.99, 0.99), (0.31, 0.77)):
+        step = lambda x: min(math.floor(x * 100 + 1e-9), 100) / 100
+        said = [0 if step(p) >= a else 1 if step(q) >= b else 2 for _, p, q, _ in data]
+        true = [order.index(t) for *_, t in data]
+        r = grid[(a, b)]
+        assert (r["cost"], r["under"], r["over"], r["right"]) == (sum(costs[order[x]] for x in said), sum(x < y for x, y in zip(said, true)), sum(x > y for x, y in zip(said, true)), sum(x == y for x, y in zip(said, true)))
+    best = model.best_thresholds(model.threshold_grid(df, costs), 12).first()
+    assert best["cost"] == min(r["cost"] for r in grid.values() if r["under"] <= 12)
+    with pytest.raises(ValueError, match="no pair"):
+        model.best_thresholds(model.threshold_grid(df, costs), -1)
+    values = sorted(p for _, p, _, _ in data)
+    assert [r[0] for r in rows(model.quantiles(df, "p1", "k", [0.1, 0.5, 0.9]))] == [values[round(f * 59)] for f in (0.1, 0.5, 0.9)]
+    assert model.quantiles(df.filter("false"), "p1", "k", [0.5]).count() == 0
+
+
+def test_runs_are_merged_and_keys_required(spark):
+    a, b = spark.createDataFrame([("x", "good", 1), ("y", "bad", 1)], "k string, grade string, n int"), spark.createDataFrame([("y", "good", 2), ("z", None, 2)], "k string, grade string, n int")
+    assert rows(upkeep.merged([a, b], "k")) == [("x", "good", 1), ("y", "good", 2), ("z", None, 2)]
+    with pytest.raises(ValueError, match="1 keys"):
+        upkeep.merged([a, b], "k", "grade")
+    upkeep.require(a, a, "k")
+    with pytest.raises(ValueError, match="such as"):
+        upkeep.require(b, a, "k")
+    assert rows(upkeep.renamed(a, "grade", {"bad": "poor"}).select("grade")) == [("good",), ("poor",)] and upkeep.renamed_columns(a.withColumnRenamed("n", "old_n"), {"old": "new"}).columns == ["k", "grade", "new_n"]
+
+
+def test_corrected_intervals(spark):
+    assert statistics.bonferroni(0.05, 2) == 0.025
+    with pytest.raises(ValueError, match="comparison"):
+        statistics.bonferroni(0.05, 0)
+    df = spark.createDataFrame([(1.0, 2.0), (-1.0, 2.0), (0.0, 1.0), (None, 1.0)], "a double, b double")
+    assert [r[0] for r in df.select(statistics.excludes_zero(F.col("a"), F.col("b"))).collect()] == [True, False, False, None]
