@@ -70,8 +70,8 @@ def test_minimums_beyond_the_size(spark):
 def test_shortage_follows_from_the_ranks(spark, monkeypatch):
     real = quota_sample.spread_rank
     monkeypatch.setattr(quota_sample, "spread_rank", lambda df, group, order, bucket, name: real(df, group, order, bucket, name).filter(F.col(name) <= 7))
-    data = sample_tables(spark, [(f"q{i}", "null_query", 0, 1) for i in range(40)], 20, [("null_query", 0, 0.5, 0)])
-    assert [(r["needed"], r["available"], r["short"]) for r in quota_sample.report(*data).collect()] == [(10, 40, 3)]
+    data = sample_tables(spark, [(f"q{i}", "null_query", i % 2, 1) for i in range(80)], 20, [("null_query", 0, 0.5, 0), ("null_query", 1, 0.5, 0)])
+    assert [(r["needed"], r["available"], r["short"]) for r in quota_sample.report(*data).collect()] == [(10, 40, 3)] * 2
 
 
 # --- 2
