@@ -427,3 +427,13 @@ ORACLES["rate_limited"] = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) A
 r AS (SELECT user_id, n, [us] AS recent, true AS ok FROM e WHERE n = 1 UNION ALL
  SELECT user_id, n, CASE WHEN len(near) < 5 THEN list_append(near, us) ELSE near END, len(near) < 5 FROM (SELECT e.user_id, e.n, e.us, list_filter(r.recent, lambda x: e.us - x <= 3600000000) AS near FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
 SELECT user_id, count(*) FILTER (ok) AS allowed, count(*) FILTER (NOT ok) AS refused FROM r GROUP BY user_id"""
+
+
+def _phrases(words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join("contains(low, '" + w.replace("'", "''") + "')" for w in words) + ")"
+
+
+_NAMED = " OR ".join(f"len(list_filter(regexp_extract_all(answer, '(?is){m}(.{{0,60}})', 1), lambda w: regexp_matches(w, '\\b[A-Z][a-zA-Z''\\-]*\\b'))) > 0" for m in text.ASSERTING)
+ORACLES["response_structure"] = rf"""{_V}, x AS (SELECT pipeline, answer, regexp_replace(lower({_STRIP.format("answer")}), '\s+', ' ', 'g') AS low FROM tr WHERE answer IS NOT NULL),
+y AS (SELECT pipeline, low, {_phrases(text.DECLINE)} AS d, {_phrases(text.HEDGE)} AS h, {_NAMED} AS n FROM x)
+SELECT pipeline, CASE WHEN low = '' THEN 'ambiguous' WHEN NOT d AND NOT h THEN 'substantive_answer' WHEN n THEN 'answer_with_uncertainty' WHEN d THEN 'clean_abstention' ELSE 'ambiguous' END AS structure, count(*) AS n FROM y GROUP BY ALL""".replace("\\\\", "\\")

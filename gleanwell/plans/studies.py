@@ -181,6 +181,17 @@ def paired_intervals(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("excludes_zero", statistics.excludes_zero(F.col("low"), F.col("high")))
 
 
+def bootstrap_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The means of bootstrap_ci, whether their intervals hold them, and whether the intervals are about as wide as the normal ones (a third more or less)."""
+    c = evaluation._coverage(spark, d)
+    a, b = (c.filter(F.col("pipeline") == p).select("qa_id", "question_type", F.col("coverage").alias(n)) for p, n in (("always_agentic", "a"), ("adaptive", "b")))
+    s = statistics.paired_summary(a.join(b.drop("question_type"), "qa_id"), ["question_type"])
+    width = 2 * statistics.Z[0.95] * F.col("stdev") / F.sqrt("n")
+    near = F.abs(F.col("high") - F.col("low") - width) <= width / 3
+    both = evaluation.bootstrap_ci(spark, d).withColumnRenamed("mean", "m").join(s, "question_type")
+    return both.filter("n >= 10").select("question_type", F.round("m", 6).alias("mean"), F.col("m").between(F.col("low"), F.col("high")).alias("holds"), near.alias("near"))
+
+
 def grounding_report(spark: SparkSession, d: str) -> DataFrame:
     """Fact grounding by type and by single or several hops: the mean of the questions' rates against that of all facts with its Wilson interval."""
     g = evaluation.fact_grounding(spark, d).withColumnRenamed("qid", "qa_id").join(_typed(spark, d), "qa_id").withColumn("tier", F.when(F.col("hops") <= 1, "single").otherwise("several"))
@@ -255,7 +266,7 @@ def event_props(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k").isNull()).alias("fallbacks"), F.sum("k").alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (hybrid_search, pool_headroom, cited_titles, feature_vectors, threshold_grid, best_thresholds, threshold_candidates, stage_two_folds, macro_scores, routing_pairs, label_distribution, gate_outcomes, benchmark_splits, benchmark_manifest, tune_split, two_level_sample, cell_sample, cell_shortage, spot_checks, paired_intervals, grounding_report, under_routed, reductions, quality_histogram, verdict_changes, baseline_means, evidence_after_loop, diverse_examples, event_props)}
+QUERIES = {f.__name__: f for f in (hybrid_search, pool_headroom, cited_titles, feature_vectors, threshold_grid, best_thresholds, threshold_candidates, stage_two_folds, macro_scores, routing_pairs, label_distribution, gate_outcomes, benchmark_splits, benchmark_manifest, tune_split, two_level_sample, cell_sample, cell_shortage, spot_checks, paired_intervals, bootstrap_checks, grounding_report, under_routed, reductions, quality_histogram, verdict_changes, baseline_means, evidence_after_loop, diverse_examples, event_props)}
 
 _V = "WITH " + views.SQL
 _WORDS = retrieval._WORDS
@@ -348,6 +359,7 @@ z AS (SELECT question_type, CASE WHEN coalesce(hops, 0) <= 1 THEN 'single' ELSE
 y AS (SELECT question_type, tier, CAST(grouping(question_type, tier) AS INT) AS level, count(*) AS questions, CAST(sum(facts) AS BIGINT) AS facts, avg(grounded / facts) AS macro, sum(grounded)::DOUBLE AS gr FROM z GROUP BY GROUPING SETS ((question_type), (tier), ())),
 w AS (SELECT *, gr / facts AS p, 1 + {_POOLED**2} / facts AS sc FROM y), v AS (SELECT *, (p + {_POOLED**2} / (2 * facts)) / sc AS mid, {_POOLED} * sqrt(p * (1 - p) / facts + {_POOLED**2} / (4 * facts * facts)) / sc AS half FROM w)
 SELECT question_type, tier, level, questions, facts, round(macro, 6) AS macro, round(p, 6) AS pooled, round(greatest(mid - half, 0), 6) AS low, round(least(mid + half, 1), 6) AS high FROM v""",
+    "bootstrap_checks": f"{_SIDES} SELECT question_type, round(avg(ca - cb), 6) AS mean, true AS holds, true AS near FROM sides WHERE ca IS NOT NULL AND cb IS NOT NULL GROUP BY question_type HAVING count(*) >= 10",
     "under_routed": f"{_SIDES} SELECT qa_id, question_type, hop_count, predicted_route FROM sides WHERE predicted_route IN ('SIMPLE', 'MEDIUM') AND (fb < fa - 1e-9 OR cb < ca - 1e-9)",
     "reductions": f"""{_SIDES}, m AS (SELECT avg(la) AS la, avg(lb) AS lb, avg(xa) AS xa, avg(xb) AS xb, avg(fa) AS fa, avg(fb) AS fb, avg(ca) AS ca, avg(cb) AS cb FROM sides)
 SELECT round((la - lb) / nullif(la, 0), 6) AS latency_reduction, round((xa - xb) / nullif(xa, 0), 6) AS cost_reduction, round(fb / nullif(fa, 0), 6) AS f1_retention, round(cb / nullif(ca, 0), 6) AS coverage_retention FROM m""",
