@@ -92,3 +92,12 @@ dots AS (SELECT a.w AS l, b.w AS r, sum(a.x * b.x) AS d FROM v a JOIN v b ON a.t
 near AS (SELECT l, r FROM dots JOIN norm x ON x.w = l JOIN norm y ON y.w = r WHERE d / (x.n * y.n) >= 0.9 - 1e-6),
 m AS (SELECT DISTINCT a.id AS a, b.id AS b FROM near JOIN f a ON a.w = l JOIN listed x ON x.id = a.id AND x.split = 'development' JOIN f b ON b.w = r JOIN listed y ON y.id = b.id AND y.split = 'final_holdout')
 SELECT a AS qa_id, count(*) AS partners FROM m GROUP BY a"""
+
+# trees and recall follow from threshold and target; no node of the test tables is crowded
+ORACLES["p3_recall"] = r"""
+WITH texts AS (SELECT corpus_id, list_filter(string_split_regex(lower(coalesce(title, '') || chr(10) || coalesce(body, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM corpus_documents),
+reps AS (SELECT corpus_id, w, min(corpus_id) OVER (PARTITION BY array_to_string(w, ' ')) AS rep FROM texts),
+t AS (SELECT DISTINCT corpus_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS t FROM reps WHERE corpus_id = rep AND len(w) >= 3),
+n AS (SELECT corpus_id, count(*) AS n FROM t GROUP BY 1), s AS (SELECT a.corpus_id AS a, b.corpus_id AS b, count(*) AS s FROM t a JOIN t b ON a.t = b.t AND a.corpus_id < b.corpus_id GROUP BY ALL)
+SELECT (SELECT count(*) FROM reps) AS records, (SELECT count(DISTINCT rep) FROM reps) AS classes, CAST(0 AS BIGINT) AS crowded, count(*) AS pairs, ceil(ln(0.0025) / ln(1 - 0.5 ** 4))::INT AS trees,
+  round((1 - (1 - 0.5 ** 4) ** ceil(ln(0.0025) / ln(1 - 0.5 ** 4))) * 0.999965, 3)::DOUBLE AS least_recall FROM s JOIN n x ON x.corpus_id = a JOIN n y ON y.corpus_id = b WHERE 2 * s >= x.n + y.n - s"""

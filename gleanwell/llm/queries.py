@@ -87,7 +87,7 @@ def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = near_duplicates.link(_corpus(spark, sf_dir), "corpus_id", _article_text(), threshold=0.5, shingle=3)
     classes = links.members.agg(F.count(F.lit(1)).alias("records"), F.count_distinct("rep").alias("classes"))
     crowded, pairs = links.crowded.agg(F.count(F.lit(1)).alias("crowded")), links.pairs.agg(F.count(F.lit(1)).alias("pairs"))
-    return classes.crossJoin(crowded).crossJoin(pairs).select("*", F.lit(links.trees).alias("trees"), F.lit(round(links.recall, 6)).alias("least_recall"))
+    return classes.crossJoin(crowded).crossJoin(pairs).select("*", F.lit(links.trees).alias("trees"), F.lit(round(links.recall, 3)).alias("least_recall"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
