@@ -56,6 +56,19 @@ def test_limits_a_stream_like_a_loop(spark, events, tmp_path):
     assert got == model(events, 3, 30)
 
 
+def test_silent_clients_keep_no_state(spark, tmp_path):
+    schema, day = "client bigint, ts timestamp, id bigint", datetime(2024, 1, 1)
+    parts = [[(1, day, 0), (2, day, 1)], [(1, day + timedelta(hours=5), 2)], [(1, day + timedelta(hours=9), 3)], [(2, day + timedelta(hours=9, seconds=1), 4)]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = rate_limit.limited_stream(stream, "client", "ts", "id", 3, 30).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    q.awaitTermination(120)
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(kept) == 2 and 1 in kept[1:]  # client 2 was forgotten, and let through anew
+    assert {r["key"]: r["allowed"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == dict.fromkeys(range(5), True)
+
+
 def test_json_records(spark, tmp_path):
     ev = {"title": "t", "author": None, "url": "u", "source": "s", "category": "c", "published_at": "2024", "fact": "f"}
     good = {"query": "q", "answer": "a", "question_type": "null_query", "evidence_list": []}
