@@ -25,7 +25,8 @@ VERDICTS = ("yes", "no", "true", "false", "similar", "consistent", "change", "al
 OPPOSITES = {"yes": "no", "no": "yes", "true": "false", "false": "true"}
 NEGATORS = ("not", "never", "cannot", "can't", "doesn't", "does not", "did not", "didn't")
 HEDGES = ("uncertain", "unsure", "unclear", "unknown", "whether")
-# Phrases that decline, phrases that hedge, and verbs that announce a statement.
+# Phrases that decline, phrases that hedge, and verbs that announce a statement. Here and among the negators, entries that a
+# shorter one implies or that can never match are left out.
 DECLINE = (
     "insufficient", "not enough information", "does not contain enough information", "no information", "cannot be determined", "cannot determine",
     "don't have enough information", "do not have enough information", "unable to determine", "unable to answer",
@@ -36,6 +37,17 @@ ASSERTING = (
     "is described as", "are described as", "identifies", "identify", "attributes", "attribute",
 )
 
+# A verdict that begins a text, one that follows an announcement, one that ends a sentence, and two of them as alternatives.
+_ANY = "|".join(VERDICTS)
+LEADING = rf"(?i)^\s*(not\s+)?\b({_ANY})\b"
+ANNOUNCED = rf"(?i)\b(?:the answer is|it is|overall,?)\s+(not\s+)?\b({_ANY})\b"
+CLOSING = rf"^(.*)\b({_ANY})\b\s*$"
+ALTERNATIVES = rf"(?i)\b({_ANY})\s+or\s+({_ANY})\b"
+# A quoted span, the forms of numbers and dates that count, and a capitalised word.
+QUOTED = r"'[^']{2,80}'|\"[^\"]{2,80}\""
+NUMBERS = (rf"(?i)\b({'|'.join(MONTHS)})\b", r"\b(19|20)\d{2}\b", r"\b\d+(st|nd|rd|th)?\b")
+CAPITALISED = r"\b[A-Z][a-zA-Z'\-]*\b"
+
 
 def doc_id(url: Column) -> Column:
     """The identity of a page: the first 16 hex digits of its url's sha1. Null for a null url."""
@@ -137,22 +149,18 @@ def verdict(answer: Column) -> Column:
     first, the last of them winning; then one that ends a sentence without a hedge before it. A negated verdict turns into its
     opposite, or counts for nothing if it has none.
     """
-    v = _any_of(VERDICTS)
-    text = F.regexp_replace(answer, rf"(?i)\b({v})\s+or\s+({v})\b", " ")
-    lead = rf"(?i)^\s*(not\s+)?\b({v})\b"
-    said = rf"(?i)\b(?:the answer is|it is|overall,?)\s+(not\s+)?\b({v})\b"
+    text = F.regexp_replace(answer, ALTERNATIVES, " ")
 
     def pair(negated: Column, word: Column) -> Column:
         word = F.lower(word)
         return F.when(negated != "", _opposite(word)).otherwise(word)
 
-    first = F.when(F.rlike(text, F.lit(lead)), pair(F.regexp_extract(text, lead, 1), F.regexp_extract(text, lead, 2)))
-    later = F.filter(F.zip_with(F.regexp_extract_all(text, F.lit(said), F.lit(1)), F.regexp_extract_all(text, F.lit(said), F.lit(2)), pair), lambda x: x.isNotNull())
-    ends = rf"^(.*)\b({v})\b\s*$"
+    first = F.when(F.rlike(text, F.lit(LEADING)), pair(F.regexp_extract(text, LEADING, 1), F.regexp_extract(text, LEADING, 2)))
+    later = F.filter(F.zip_with(F.regexp_extract_all(text, F.lit(ANNOUNCED), F.lit(1)), F.regexp_extract_all(text, F.lit(ANNOUNCED), F.lit(2)), pair), lambda x: x.isNotNull())
 
     def closing(sentence: Column) -> Column:
         low = F.regexp_replace(F.lower(sentence), r"\s+", " ")
-        before, word = F.regexp_extract(low, ends, 1), F.regexp_extract(low, ends, 2)
+        before, word = F.regexp_extract(low, CLOSING, 1), F.regexp_extract(low, CLOSING, 2)
         negated = F.rlike(before, F.lit(rf"\b({_any_of(NEGATORS)})\b"))
         hedged = F.rlike(before, F.lit(rf"\b({_any_of(HEDGES)})\b"))
         return F.when((word != "") & ~hedged, F.when(negated, _opposite(word)).otherwise(word))
@@ -167,7 +175,7 @@ def response_structure(answer: Column) -> Column:
     low = F.regexp_replace(F.lower(strip(answer)), r"\s+", " ")
     has = lambda phrases: F.rlike(low, F.lit("|".join(rf"\Q{p}\E" for p in phrases)))
     windows = F.flatten(F.array(*[F.regexp_extract_all(answer, F.lit(rf"(?is)\Q{m}\E(?=(.{{0,60}}))"), F.lit(1)) for m in ASSERTING]))
-    names = F.exists(windows, lambda w: F.rlike(w, F.lit(r"\b[A-Z][a-zA-Z'\-]*\b")))
+    names = F.exists(windows, lambda w: F.rlike(w, F.lit(CAPITALISED)))
     declines, hedges = has(DECLINE), has(HEDGE)
     out = F.when(low == "", "ambiguous").when(~declines & ~hedges, "substantive_answer").when(names, "answer_with_uncertainty").when(declines, "clean_abstention").otherwise("ambiguous")
     return F.when(answer.isNotNull(), out)
@@ -180,7 +188,6 @@ def query_features(q: Column) -> dict[str, Column]:
     times = lambda phrase: F.regexp_count(F.lower(q), F.lit(phrase))
     comparison, temporal = among(COMPARISON), among(TEMPORAL) + times("over time")
     conjunction = among(CONJUNCTIONS) + times(CONJUNCTION_PHRASES[0]) + times(CONJUNCTION_PHRASES[1])
-    numeric = [rf"(?i)\b({_any_of(MONTHS)})\b", r"\b(19|20)\d{2}\b", r"\b\d+(st|nd|rd|th)?\b"]
     return {
         "words": F.size(words),
         "chars": F.length(q),
@@ -190,8 +197,8 @@ def query_features(q: Column) -> dict[str, Column]:
         "has_temporal": (temporal > 0).cast("int"),
         "conjunction": conjunction,
         "has_conjunction": (conjunction > 0).cast("int"),
-        "quoted": F.regexp_count(q, F.lit(r"'[^']{2,80}'|\"[^\"]{2,80}\"")),
-        "numeric": F.regexp_count(q, F.lit(numeric[0])) + F.regexp_count(q, F.lit(numeric[1])) + F.regexp_count(q, F.lit(numeric[2])),
+        "quoted": F.regexp_count(q, F.lit(QUOTED)),
+        "numeric": F.regexp_count(q, F.lit(NUMBERS[0])) + F.regexp_count(q, F.lit(NUMBERS[1])) + F.regexp_count(q, F.lit(NUMBERS[2])),
     }
 
 
